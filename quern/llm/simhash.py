@@ -70,8 +70,9 @@ def links(fps: DataFrame, small: int = 64) -> DataFrame:
     half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.expr("fp & 4294967295").alias("v")), F.struct(F.lit(1).alias("side"), F.expr("shiftrightunsigned(fp, 32)").alias("v"))))
     sigs = fps.select("fp", half.alias("x")).select("fp", "x.*", F.explode(F.expr("sequence(0, 31)")).alias("p"))
     sigs = sigs.select("fp", F.expr("(v & ~shiftleft(1L, p)) | shiftleft(cast(p as long), 32) | shiftleft(cast(side as long), 37)").alias("sig"))
+    sigs = sigs.repartition("sig")  # one exchange, which counting and joining share
     shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    members = store(sigs.join(shared, "sig"))
+    members = store(sigs.join(shared.hint("merge"), "sig"))
     few = members.filter(F.col("n") <= small).groupBy("sig").agg(F.sort_array(F.collect_set("fp")).alias("f"))
     pairs = few.select(F.explode(F.expr("flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, size(f)), y -> bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))))")).alias("e")).select("e.a", "e.b").distinct()
     hot = members.filter(F.col("n") > small).select("fp").distinct()
