@@ -1 +1,146 @@
-QUERIES, SQL = {}, {}
+"""The registered queries and, beside each, the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import layers, syllable
+from quern.functions.tokens import ALPHA, MAX_KEY_BYTES, OTHER
+from quern.operators import bpe, count
+from quern.sources.corpus import documents
+
+#: Vietnamese words and near misses; the test tables hold none.
+FIXTURE = "gịu gìa qùa coa quô quôc cuôc nh nz hòa hoà thuở huơ khuya chuyện yêu iêu tiếng Việt NGHIÊNG nghe ghê gì gím gin giếng giêng quy qui quý quả quốc boong đường ăn áo ái aí oái oaí toàn tuần tuệ của cùa mía lửa người mười xoong khuỷu quyết chuyên ngủ kẻ ke cá cac các cách cạch cach em anh inh ich ông a ă y ý uy z f w j q qu gi g gh ngh đ đi Đà thúy thuý họp hop an la é".split()
+K = 6
+
+
+def _rows(words) -> str:
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
+
+
+def _fixture(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_rows(FIXTURE)} AS t(token)")
+
+
+SPLIT = f"SELECT unnest(regexp_extract_all(text, '{ALPHA}')) AS token FROM documents"
+SPLIT_OTHER = f"SELECT unnest(regexp_extract_all(text, '{OTHER}')) AS token FROM documents"
+COUNT = "SELECT token, count(*) AS cnt FROM ({}) WHERE strlen(token) <= 32 GROUP BY token"
+ALL = f"(SELECT token, count(*) AS cnt FROM ({SPLIT}) GROUP BY token)"
+PARSED = layers.sql(layers.sql(ALL, syllable.parse()), syllable.ENCODE)
+TYPES = f"(SELECT token, cnt FROM {PARSED} WHERE NOT can_be_vietnamese AND strlen(token) <= {MAX_KEY_BYTES})"
+IDS = f"(SELECT range AS syll_id FROM range({syllable.MAX_ID}))"
+SPELLED = layers.sql(layers.sql(IDS, syllable.DECODE), syllable.SPELL)
+LEXICON = f"(SELECT * FROM {SPELLED} WHERE NOT ({syllable.INVALID}))"
+PARTS = ["token", "can_be_vietnamese", "am_dau", "am_giua", "am_cuoi", "tone", "syll_id"]
+VOCAB = f"(SELECT token, cnt, regexp_replace(hex(encode(token)), '(..)', '<\\1>', 'g') AS sym FROM {TYPES})"
+
+
+def _pairs(vocab: str) -> str:
+    return f"SELECT p.l AS \"left\", p.r AS \"right\", CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT cnt, unnest(list_transform(range(1, len(s)), lambda i: {{'l': s[i], 'r': s[i + 1]}})) AS p FROM (SELECT cnt, regexp_extract_all(sym, '<[0-9A-F]+>') AS s FROM {vocab})) GROUP BY 1, 2"
+
+
+def _learn(k: int) -> str:
+    """The first k merges as a chain of tables b0.. (best pairs) and v0.. (vocabularies)."""
+    out = [f"v0 AS MATERIALIZED {VOCAB}"]
+    for i in range(k):
+        out.append(f"b{i} AS MATERIALIZED (SELECT {i} AS rank, * FROM ({_pairs(f'v{i}')}) ORDER BY cnt DESC, \"left\", \"right\" LIMIT 1)")
+        out.append(f"v{i + 1} AS MATERIALIZED (SELECT token, v.cnt, replace(sym, b.\"left\" || b.\"right\", left(b.\"left\", -1) || substr(b.\"right\", 2)) AS sym FROM v{i} AS v, b{i} AS b)")
+    return "WITH " + ", ".join(out)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent entries of both counters: syllables by canonical text, other words as they are."""
+    parsed = count.routed(documents(spark, sf_dir)).filter(f"can_be_vietnamese or octet_length(token) <= {MAX_KEY_BYTES}")
+    by = parsed.groupBy("syll_id", F.when(F.col("syll_id").isNull(), F.col("token")).alias("token")).agg(F.sum("cnt").alias("cnt"))
+    return by.orderBy(F.desc("cnt"), F.asc_nulls_first("syll_id"), "token").limit(300)
+
+
+def token_route(spark, sf):
+    kind = F.when(F.col("can_be_vietnamese"), "syllable").when(F.octet_length("token") <= MAX_KEY_BYTES, "token").otherwise("too long")
+    return count.routed(documents(spark, sf)).groupBy(kind.alias("kind")).agg(F.count("*").alias("types"), F.sum("cnt").alias("tokens"))
+
+
+def type_stats(spark, sf):
+    t = count.alpha(documents(spark, sf)).withColumn("b", F.octet_length("token"))
+    short = F.col("b") <= 8
+    return t.agg(F.count("*").alias("types"), F.sum("cnt").alias("puts"), F.sum("b").cast("long").alias("bytes"), F.count(F.when(short, 1)).alias("short_types"), F.sum(F.when(short, F.col("cnt"))).alias("short_puts"), F.sum(F.when(short, F.col("b"))).cast("long").alias("short_bytes"), F.max(F.length("token")).cast("long").alias("longest"))
+
+
+def char_decode(spark, sf):
+    chars = documents(spark, sf).select(F.explode(F.split("text", "")).alias("ch")).filter("ch != ''").groupBy("ch").agg(F.count("*").alias("cnt"))
+    return layers.apply(chars, CHARS).select("ch", "cnt", "base", "tone", "vowel", "bytes")
+
+
+CHARS = [syllable.letters("ch"), {"tone": "CASE WHEN tones IN ('1', '2', '3', '4', '5') THEN CAST(tones AS INT) ELSE 0 END", "vowel": f"base IN {syllable.VOWEL}", "bytes": "CAST({BYTES}(ch) AS BIGINT)"}]
+
+
+def lookup(spark, sf):
+    got = count.alpha(documents(spark, sf)).filter(F.col("token").isin("the", "de", "la"))
+    keys = spark.sql("SELECT * FROM VALUES ('the'), ('de'), ('la'), ('absent word') AS t(token)")
+    return keys.join(F.broadcast(got), "token", "left").select("token", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+def selfcheck(spark, sf):
+    """Lexicon entries whose spelling, parsed again, has another id."""
+    lex = count.lexicon(spark).select(F.col("syll_id").alias("id"), F.col("text").alias("token"))
+    again = layers.apply(layers.apply(lex, syllable.parse()), syllable.ENCODE)
+    return again.filter("syll_id is null or syll_id <> id").select("id", "token", "syll_id")
+
+
+def learnt(spark, sf):
+    merges, _ = bpe.learn(count.types(documents(spark, sf)), K)
+    return spark.createDataFrame(merges, "rank int, left string, right string, cnt long").withColumn("symbol", F.concat(F.expr("substr(left, 2, length(left) - 2)"), F.expr("substr(right, 2, length(right) - 2)")))
+
+
+def lookup_kind(spark, sf):
+    t = count.alpha(documents(spark, sf))
+    return t.select("token", F.col("token").rlike("^[eyuioaEYUIOA]").alias("vowel_start"), F.col("token").rlike("^[mncptMNCPT]").alias("final_consonant_start"), F.octet_length("token").cast("long").alias("bytes"), F.length("token").cast("long").alias("chars"))
+
+
+_alpha = lambda s, d: count.alpha(documents(s, d))
+_fix = lambda s: layers.apply(layers.apply(_fixture(s), syllable.parse()), syllable.ENCODE)
+FIX = layers.sql(layers.sql(f"(SELECT * FROM (VALUES {_rows(FIXTURE)}) AS t(token))", syllable.parse()), syllable.ENCODE)
+TOP = "SELECT token, cnt FROM ({}) ORDER BY cnt DESC, token LIMIT {}"
+FEATURES = [{k: v for k, v in syllable.FEATURES.items()}]
+_features = ["syll_id", "text", *syllable.FEATURES]
+
+_table = {
+    "alpha_tokens": (lambda s, d: count.split(documents(s, d)), SPLIT),
+    "nonalpha_tokens": (lambda s, d: count.split(documents(s, d), OTHER), SPLIT_OTHER),
+    "token_counts": (_alpha, COUNT.format(SPLIT)),
+    "nonalpha_counts": (lambda s, d: count.other(documents(s, d)), COUNT.format(SPLIT_OTHER)),
+    "top_types": (lambda s, d: _alpha(s, d).orderBy(F.desc("cnt"), "token").limit(300), TOP.format(COUNT.format(SPLIT), 300)),
+    "longest_types": (lambda s, d: _alpha(s, d).orderBy(F.desc(F.octet_length("token")), "token").limit(20), f"SELECT token, cnt FROM ({COUNT.format(SPLIT)}) ORDER BY strlen(token) DESC, token LIMIT 20"),
+    "word_count": (lambda s, d: documents(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt")), r"SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents) GROUP BY word"),
+    "distinct_types": (lambda s, d: _alpha(s, d).agg(F.count("*").alias("types")), f"SELECT count(*) AS types FROM ({COUNT.format(SPLIT)})"),
+    "type_stats": (type_stats, f"SELECT count(*) AS types, CAST(sum(cnt) AS BIGINT) AS puts, CAST(sum(strlen(token)) AS BIGINT) AS bytes, count(CASE WHEN strlen(token) <= 8 THEN 1 END) AS short_types, CAST(sum(CASE WHEN strlen(token) <= 8 THEN cnt END) AS BIGINT) AS short_puts, CAST(sum(CASE WHEN strlen(token) <= 8 THEN strlen(token) END) AS BIGINT) AS short_bytes, max(length(token)) AS longest FROM ({COUNT.format(SPLIT)})"),
+    "token_lookup": (lookup, f"SELECT k.token, coalesce(c.cnt, 0) AS cnt FROM (VALUES ('the'), ('de'), ('la'), ('absent word')) AS k(token) LEFT JOIN ({COUNT.format(SPLIT)}) AS c ON k.token = c.token"),
+    "token_classes": (lookup_kind, f"SELECT token, regexp_matches(token, '^[eyuioaEYUIOA]') AS vowel_start, regexp_matches(token, '^[mncptMNCPT]') AS final_consonant_start, CAST(strlen(token) AS BIGINT) AS bytes, length(token) AS chars FROM ({COUNT.format(SPLIT)})"),
+    "char_decode": (char_decode, f"SELECT ch, cnt, base, tone, vowel, bytes FROM {layers.sql('(SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(text, chr(0))) AS t FROM documents) AS z, unnest(regexp_extract_all(t, chr(40) || chr(63) || chr(115) || chr(41) || chr(46))) AS u(ch) GROUP BY ch)', CHARS)}"),
+    "tone_histogram": (lambda s, d: char_decode(s, d).groupBy("tone").agg(F.sum("cnt").alias("cnt")), None),
+    "syllable_parse": (lambda s, d: count.routed(documents(s, d)).select("cnt", *PARTS), f"SELECT cnt, {', '.join(PARTS)} FROM {PARSED}"),
+    "syllable_fixture": (lambda s, d: _fix(s).select(*PARTS), f"SELECT {', '.join(PARTS)} FROM {FIX}"),
+    "syllable_spelling": (lambda s, d: count.spelled(_fix(s).filter("can_be_vietnamese").select("token", "syll_id")).select("token", "syll_id", "text"), f"SELECT token, syll_id, text FROM {layers.sql(layers.sql(f'(SELECT token, syll_id FROM {FIX} WHERE can_be_vietnamese)', syllable.DECODE), syllable.SPELL)}"),
+    "syllable_lexicon": (lambda s, d: count.lexicon(s), f"SELECT syll_id, text, am_dau, am_giua, am_cuoi, tone FROM {LEXICON}"),
+    "syllable_features": (lambda s, d: layers.apply(count.lexicon(s), FEATURES).select(*_features), f"SELECT {', '.join(_features)} FROM {layers.sql(LEXICON, FEATURES)}"),
+    "syllable_counts": (lambda s, d: count.syllables(documents(s, d)), f"SELECT syll_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese GROUP BY syll_id"),
+    "syllable_list": (lambda s, d: count.spelled(count.syllables(documents(s, d)).orderBy("syll_id").limit(20)).select("syll_id", "text", "cnt"), f"SELECT syll_id, text, cnt FROM {layers.sql(layers.sql(f'(SELECT syll_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese GROUP BY syll_id ORDER BY syll_id LIMIT 20)', syllable.DECODE), syllable.SPELL)}"),
+    "type_counts": (lambda s, d: count.types(documents(s, d)), f"SELECT token, cnt FROM {TYPES}"),
+    "vocabulary_list": (lambda s, d: count.types(documents(s, d)).orderBy(F.desc("cnt"), "token").limit(300), TOP.format(f"SELECT * FROM {TYPES}", 300)),
+    "token_route": (token_route, f"SELECT CASE WHEN can_be_vietnamese THEN 'syllable' WHEN strlen(token) <= 32 THEN 'token' ELSE 'too long' END AS kind, count(*) AS types, CAST(sum(cnt) AS BIGINT) AS tokens FROM {PARSED} GROUP BY 1"),
+    "mapped_route": (lambda s, d: count.mapped(documents(s, d)), f"SELECT c.token, c.cnt, l.syll_id FROM ({COUNT.format(SPLIT)}) AS c LEFT JOIN (SELECT text, min(syll_id) AS syll_id FROM {LEXICON} WHERE strlen(text) <= 9 GROUP BY text) AS l ON c.token = l.text"),
+    "lexicon_selfcheck": (selfcheck, f"SELECT id, token, syll_id FROM {layers.sql(layers.sql(f'(SELECT syll_id AS id, text AS token FROM {LEXICON})', syllable.parse()), syllable.ENCODE)} WHERE syll_id IS NULL OR syll_id <> id"),
+    "lexicon_nine_bytes": (lambda s, d: count.lexicon(s).filter("octet_length(text) = 9").select("syll_id", "text"), f"SELECT syll_id, text FROM {LEXICON} WHERE strlen(text) = 9"),
+    "bpe_pair_counts": (lambda s, d: bpe.pairs(bpe.vocabulary(count.types(documents(s, d)))), _pairs(VOCAB)),
+    "bpe_best_pair": (lambda s, d: bpe.best(bpe.pairs(bpe.vocabulary(count.types(documents(s, d))))), f"{_pairs(VOCAB)} ORDER BY cnt DESC, \"left\", \"right\" LIMIT 1"),
+    "bpe_learn": (learnt, _learn(K) + " SELECT rank, \"left\", \"right\", cnt, substr(\"left\", 2, length(\"left\") - 2) || substr(\"right\", 2, length(\"right\") - 2) AS symbol FROM (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(K)) + ")"),
+    "bpe_vocabulary": (lambda s, d: bpe.learn(count.types(documents(s, d)), K)[1].select("token", "cnt", "sym"), _learn(K) + f" SELECT token, cnt, sym FROM v{K}"),
+    "bpe_dropout": (lambda s, d: s.createDataFrame(bpe.learn(count.types(documents(s, d)), 3, 40 / 65536, 7)[0], "rank int, left string, right string, cnt long"), None),
+    "flagship": (flagship, f"SELECT syll_id, token, cnt FROM (SELECT syll_id, CASE WHEN syll_id IS NULL THEN token END AS token, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese OR strlen(token) <= 32 GROUP BY 1, 2) ORDER BY cnt DESC, syll_id NULLS FIRST, token LIMIT 300"),
+}
+_chars = f"(SELECT ch, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch)"
+_table["char_decode"] = (char_decode, f"SELECT ch, cnt, base, tone, vowel, bytes FROM {layers.sql(_chars, CHARS)}")
+_table["tone_histogram"] = (_table["tone_histogram"][0], f"SELECT tone, CAST(sum(cnt) AS BIGINT) AS cnt FROM {layers.sql(_chars, CHARS)} GROUP BY tone")
+QUERIES = {k: f for k, (f, _) in _table.items()}
+SQL = {k: q for k, (_, q) in _table.items() if q}
