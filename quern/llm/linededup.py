@@ -39,9 +39,13 @@ def _chunks(docs: DataFrame, modulus: int, long_line: int, least: int) -> DataFr
     return d.select("_id", "_th", "s", "e", F.expr("xxhash64(transform(l, x -> x.h))").alias("h"))
 
 
-def dedup(docs: DataFrame, modulus: int = 3, long_line: int = 160, least: int = 40, reach: int = 6) -> DataFrame:
-    """docs with repeated chunks taken out of text; _lines: how many lines went."""
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
+def dedup(docs: DataFrame, modulus: int = 3, long_line: int = 160, least: int = 40, reach: int = 6, lost: str = "_lines") -> DataFrame:
+    """docs with repeated chunks taken out of text; the further column `lost` has how many lines went.
+
+    All other columns travel under numbers, so that none clashes with a name used here.
+    """
+    other = {c: f"o{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    keyed = docs.select("text", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), *(F.col(f"`{c}`").alias(o) for c, o in other.items()))
     once = keyed.select("_id", "_th", "text")
     chunks = store(_chunks(once, modulus, long_line, least))
     again = chunks.dropDuplicates(["_id", "_th", "s"]).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -64,8 +68,9 @@ def dedup(docs: DataFrame, modulus: int = 3, long_line: int = 160, least: int =
     out = keyed.join(drops, same(keyed, drops), "left")
     kept = F.expr("filter(split(text, '\\n', -1), (x, i) -> not exists(d, r -> i >= r.a and i < r.b))")
     out = out.withColumn("_kept", _once(F.when(F.col("d").isNotNull(), kept)))
-    lost = F.when(F.col("_kept").isNotNull(), F.size(F.split("text", "\n", -1)) - F.size("_kept")).otherwise(0).cast("long")
-    return out.withColumn("_lines", lost).withColumn("text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_kept", "d", "id2", "th2", "_id", "_th")
+    gone = F.when(F.col("_kept").isNotNull(), F.size(F.split("text", "\n", -1)) - F.size("_kept")).otherwise(0).cast("long")
+    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    return out.select(*((F.col(other[c]) if c in other else text).alias(c) for c in docs.columns), gone.alias(lost))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,14 +55,16 @@ def _prints(words: int, seed: int):
     def run(it):
         for b in it:
             fp = [fingerprint(x, words, seed) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, th, fp): th is the text's hash, by which rows of one id are told apart."""
     batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints(words, seed), "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(_prints(words, seed), "doc_id long, th long, fp long")
 
 
 def links(fps: DataFrame, small: int = 64) -> DataFrame:
@@ -84,15 +86,15 @@ def links(fps: DataFrame, small: int = 64) -> DataFrame:
 
 
 def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> DataFrame:
-    """(doc_id, fp, component_id) for every row."""
+    """(doc_id, th, fp, component_id, kept) for every row; kept: the first of its component by doc_id (null last), then th."""
     prints = store(fingerprints(docs, words, seed))
-    nodes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = store(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")))
     comp = store(components(links(nodes.select("fp"), small)))
     # fingerprints that link with no other are their own root
     roots = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = roots.join(low, "root").select("fp", "component_id")
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    low = roots.groupBy("root").agg(F.min("low").alias("first"))
+    final = roots.join(low, "root").select("fp", "first")
+    return prints.join(final, "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
