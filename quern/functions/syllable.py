@@ -124,15 +124,27 @@ SPELL = [
 INVALID = "am_giua IN ('ah', 'oah') OR am_giua = 'uoz' AND am_cuoi = '_none'"
 FEATURES = {
     "len_dau": f"CASE WHEN am_dau = '_none' THEN 0 WHEN am_dau IN {_in('ch', 'gi', 'kh', 'ng', 'nh', 'ph', 'th', 'tr', 'zd')} THEN 2 ELSE 1 END",
-    "len_giua": f"CASE WHEN am_giua IN {_in('a', 'e', 'i', 'o', 'u', 'y', 'az', 'aw', 'ez', 'oz', 'ow', 'uw', 'ah')} THEN 1 WHEN am_giua = 'uyez' THEN 3 ELSE 2 END",
+    "len_giua": f"CASE WHEN am_giua IN {_in('a', 'e', 'i', 'o', 'u', 'y', 'az', 'aw', 'ez', 'oz', 'ow', 'uw')} THEN 1 WHEN am_giua = 'uyez' THEN 3 ELSE 2 END",
     "len_cuoi": f"CASE WHEN am_cuoi = '_none' THEN 0 WHEN am_cuoi IN {_in('ng', 'ch', 'nh')} THEN 2 ELSE 1 END",
+    "len_tone": "CASE WHEN tone = '_none' THEN 0 ELSE 1 END",
     "no_mark": "CASE WHEN am_dau = 'zd' THEN 'd' ELSE am_dau END",
     "has_tone": "tone <> '_none'",
     "has_mark": f"am_dau = 'zd' OR am_giua IN {_in('az', 'aw', 'ez', 'oz', 'ow', 'uw', 'iez', 'oaw', 'uaz', 'uez', 'uoz', 'uow', 'u_ow', 'uyez')}",
     "is_stop": f"am_cuoi IN {STOPS}",
-    "can_be_stop": "tone IN ('s', 'j')",
+    "tone_is_stop": "tone IN ('s', 'j')",
+    "can_be_stop": "tone IN ('s', 'j', '_none')",
     "is_harsh": "tone IN ('x', 'j')",
     "start_with_iy": "am_giua IN ('i', 'y', 'iez')",
-    "has_am_dem": f"am_dau = 'q' OR am_giua IN {_in('oa', 'oe', 'uy', 'oaw', 'uaz', 'uez', 'uyez')}",
+    "has_am_dem": f"am_dau = 'q' OR am_giua IN {_in('oa', 'oe', 'oo', 'uy', 'oaw', 'uaz', 'uez', 'uyez')}",
     "final_consonant_start": f"substr(am_cuoi, 1, 1) IN {_in(*'mncpt')}",
+    "full_dau": f"am_dau NOT IN {_in('_none', 'c', 'd', 'g', 'n', 'p', 't', 'ng')}",
+}
+#: Of those before: the length of the whole, and whether each part can be followed by more of its own.
+WHOLE = {
+    "len_all": "len_dau + len_giua + len_cuoi + len_tone",
+    "has_mark_or_tone": "has_mark OR has_tone",
+    "full_giua": f"len_giua > 1 AND am_giua NOT IN {_in('oa', 'oo', 'ua', 'uy')}",
+    "full_cuoi": "am_cuoi NOT IN ('_none', 'c', 'n')",
+    "full_tone": "has_tone",
+    "full_all": "am_cuoi NOT IN ('_none', 'c', 'n') AND has_tone",
 }

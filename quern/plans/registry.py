@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import layers, syllable
-from quern.functions.tokens import ALPHA, MAX_KEY_BYTES, OTHER
+from quern.functions.tokens import ALPHA, MAX_KEY_BYTES, OTHER, in_set
 from quern.operators import bpe, count
-from quern.sources.corpus import documents
+from quern.sources.corpus import documents, shuffled
 
 #: Vietnamese words and near misses; the test tables hold none.
 FIXTURE = "gịu gìa qùa coa quô quôc cuôc nh nz hòa hoà thuở huơ khuya chuyện yêu iêu tiếng Việt NGHIÊNG nghe ghê gì gím gin giếng giêng quy qui quý quả quốc boong đường ăn áo ái aí oái oaí toàn tuần tuệ của cùa mía lửa người mười xoong khuỷu quyết chuyên ngủ kẻ ke cá cac các cách cạch cach em anh inh ich ông a ă y ý uy z f w j q qu gi g gh ngh đ đi Đà thúy thuý họp hop an la é".split()
@@ -93,6 +93,45 @@ def learnt(spark, sf):
     return spark.createDataFrame(merges, "rank int, left string, right string, cnt long").withColumn("symbol", F.concat(F.expr("substr(left, 2, length(left) - 2)"), F.expr("substr(right, 2, length(right) - 2)")))
 
 
+def respelled(spark, sf):
+    """Each entry of the lexicon that, parsed and spelled again, has other parts or another text."""
+    lex = count.lexicon(spark).select(F.col("syll_id").alias("id"), F.col("text").alias("token"), F.col("am_giua").alias("giua"), F.col("am_cuoi").alias("cuoi"), F.col("tone").alias("ton0"))
+    again = count.spelled(layers.apply(layers.apply(lex, syllable.parse()), syllable.ENCODE).select("id", "token", "giua", "cuoi", "ton0", "syll_id"))
+    return again.filter(OTHERWISE).select("id", "token", F.expr("CASE WHEN syll_id IS NOT NULL THEN text END").alias("again"), "syll_id")
+
+
+OTHERWISE = "text IS NULL OR text <> token OR am_giua <> giua OR am_cuoi <> cuoi OR tone <> ton0"
+AGAIN = f"(SELECT id, token, giua, cuoi, ton0, syll_id FROM {layers.sql(layers.sql(f'(SELECT syll_id AS id, text AS token, am_giua AS giua, am_cuoi AS cuoi, tone AS ton0 FROM {LEXICON})', syllable.parse()), syllable.ENCODE)})"
+ASKED_IDS, ASKED_PAIRS = [0, 36, 1176, 29399], [("<74>", "<68>"), ("<65>", "<72>"), ("<00>", "<00>")]
+
+
+def syllable_lookup(spark, sf):
+    keys = spark.sql(f"SELECT CAST(id AS BIGINT) AS syll_id FROM VALUES {', '.join(f'({i})' for i in ASKED_IDS)} AS t(id)")
+    got = count.syllables(documents(spark, sf)).filter(F.col("syll_id").isin(ASKED_IDS))
+    return keys.join(F.broadcast(got), "syll_id", "left").select("syll_id", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+def pair_lookup(spark, sf):
+    keys = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, ASKED_PAIRS))} AS t(left, right)")
+    counted = bpe.pairs(bpe.vocabulary(count.types(documents(spark, sf)))).filter(" OR ".join(f"left = '{a}' AND right = '{b}'" for a, b in ASKED_PAIRS))
+    return keys.join(F.broadcast(counted), ["left", "right"], "left").select("left", "right", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+def encoded(spark, sf):
+    """All words as the symbols that the learnt merges make of them."""
+    docs = documents(spark, sf)
+    merges, _ = bpe.learn(count.types(docs), K)
+    return bpe.encode(bpe.vocabulary(count.alpha(docs)), merges).select("token", "cnt", "sym")
+
+
+def _encode(k: int) -> str:
+    sym = "regexp_replace(hex(encode(token)), '(..)', '<\\1>', 'g')"
+    for i in range(k):
+        pick = lambda e, i=i: f"(SELECT {e} FROM b{i})"
+        sym = f"replace({sym}, {pick('\"left\" || \"right\"')}, {pick('left(\"left\", -1) || substr(\"right\", 2)')})"
+    return f"{_learn(k)} SELECT token, cnt, {sym} AS sym FROM ({COUNT.format(SPLIT)})"
+
+
 def lookup_kind(spark, sf):
     t = count.alpha(documents(spark, sf))
     return t.select("token", F.col("token").rlike("^[eyuioaEYUIOA]").alias("vowel_start"), F.col("token").rlike("^[mncptMNCPT]").alias("final_consonant_start"), F.octet_length("token").cast("long").alias("bytes"), F.length("token").cast("long").alias("chars"))
@@ -102,8 +141,8 @@ _alpha = lambda s, d: count.alpha(documents(s, d))
 _fix = lambda s: layers.apply(layers.apply(_fixture(s), syllable.parse()), syllable.ENCODE)
 FIX = layers.sql(layers.sql(f"(SELECT * FROM (VALUES {_rows(FIXTURE)}) AS t(token))", syllable.parse()), syllable.ENCODE)
 TOP = "SELECT token, cnt FROM ({}) ORDER BY cnt DESC, token LIMIT {}"
-FEATURES = [{k: v for k, v in syllable.FEATURES.items()}]
-_features = ["syll_id", "text", *syllable.FEATURES]
+FEATURES = [syllable.FEATURES, syllable.WHOLE]
+_features = ["syll_id", "text", *syllable.FEATURES, *syllable.WHOLE]
 
 _table = {
     "alpha_tokens": (lambda s, d: count.split(documents(s, d)), SPLIT),
@@ -117,8 +156,6 @@ _table = {
     "type_stats": (type_stats, f"SELECT count(*) AS types, CAST(sum(cnt) AS BIGINT) AS puts, CAST(sum(strlen(token)) AS BIGINT) AS bytes, count(CASE WHEN strlen(token) <= 8 THEN 1 END) AS short_types, CAST(sum(CASE WHEN strlen(token) <= 8 THEN cnt END) AS BIGINT) AS short_puts, CAST(sum(CASE WHEN strlen(token) <= 8 THEN strlen(token) END) AS BIGINT) AS short_bytes, max(length(token)) AS longest FROM ({COUNT.format(SPLIT)})"),
     "token_lookup": (lookup, f"SELECT k.token, coalesce(c.cnt, 0) AS cnt FROM (VALUES ('the'), ('de'), ('la'), ('absent word')) AS k(token) LEFT JOIN ({COUNT.format(SPLIT)}) AS c ON k.token = c.token"),
     "token_classes": (lookup_kind, f"SELECT token, regexp_matches(token, '^[eyuioaEYUIOA]') AS vowel_start, regexp_matches(token, '^[mncptMNCPT]') AS final_consonant_start, CAST(strlen(token) AS BIGINT) AS bytes, length(token) AS chars FROM ({COUNT.format(SPLIT)})"),
-    "char_decode": (char_decode, f"SELECT ch, cnt, base, tone, vowel, bytes FROM {layers.sql('(SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(text, chr(0))) AS t FROM documents) AS z, unnest(regexp_extract_all(t, chr(40) || chr(63) || chr(115) || chr(41) || chr(46))) AS u(ch) GROUP BY ch)', CHARS)}"),
-    "tone_histogram": (lambda s, d: char_decode(s, d).groupBy("tone").agg(F.sum("cnt").alias("cnt")), None),
     "syllable_parse": (lambda s, d: count.routed(documents(s, d)).select("cnt", *PARTS), f"SELECT cnt, {', '.join(PARTS)} FROM {PARSED}"),
     "syllable_fixture": (lambda s, d: _fix(s).select(*PARTS), f"SELECT {', '.join(PARTS)} FROM {FIX}"),
     "syllable_spelling": (lambda s, d: count.spelled(_fix(s).filter("can_be_vietnamese").select("token", "syll_id")).select("token", "syll_id", "text"), f"SELECT token, syll_id, text FROM {layers.sql(layers.sql(f'(SELECT token, syll_id FROM {FIX} WHERE can_be_vietnamese)', syllable.DECODE), syllable.SPELL)}"),
@@ -137,10 +174,17 @@ _table = {
     "bpe_learn": (learnt, _learn(K) + " SELECT rank, \"left\", \"right\", cnt, substr(\"left\", 2, length(\"left\") - 2) || substr(\"right\", 2, length(\"right\") - 2) AS symbol FROM (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(K)) + ")"),
     "bpe_vocabulary": (lambda s, d: bpe.learn(count.types(documents(s, d)), K)[1].select("token", "cnt", "sym"), _learn(K) + f" SELECT token, cnt, sym FROM v{K}"),
     "bpe_dropout": (lambda s, d: s.createDataFrame(bpe.learn(count.types(documents(s, d)), 3, 40 / 65536, 7)[0], "rank int, left string, right string, cnt long"), None),
+    "lexicon_respelled": (respelled, f"SELECT id, token, CASE WHEN syll_id IS NOT NULL THEN text END AS again, syll_id FROM {layers.sql(layers.sql(AGAIN, syllable.DECODE), syllable.SPELL)} WHERE {OTHERWISE}"),
+    "syllable_lookup": (syllable_lookup, f"SELECT k.syll_id, coalesce(c.cnt, 0) AS cnt FROM (VALUES {', '.join(f'(CAST({i} AS BIGINT))' for i in ASKED_IDS)}) AS k(syll_id) LEFT JOIN (SELECT syll_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese GROUP BY syll_id) AS c ON k.syll_id = c.syll_id"),
+    "bpe_pair_lookup": (pair_lookup, f"SELECT k.l AS \"left\", k.r AS \"right\", coalesce(c.cnt, 0) AS cnt FROM (VALUES {', '.join(map(str, ASKED_PAIRS))}) AS k(l, r) LEFT JOIN ({_pairs(VOCAB)}) AS c ON k.l = c.\"left\" AND k.r = c.\"right\""),
+    "bpe_pair_stats": (lambda s, d: bpe.pairs(bpe.vocabulary(count.types(documents(s, d)))).agg(F.count("*").alias("pairs"), F.sum("cnt").alias("puts"), F.max("cnt").alias("most")), f"SELECT count(*) AS pairs, CAST(sum(cnt) AS BIGINT) AS puts, max(cnt) AS most FROM ({_pairs(VOCAB)})"),
+    "bpe_encode": (encoded, _encode(K)),
+    "byte_set": (lambda s, d: _alpha(s, d).selectExpr("token", f"CAST({in_set('token', 'aeiouyAEIOUY')} AS BIGINT) AS hits"), f"SELECT token, CAST({in_set('token', 'aeiouyAEIOUY')} AS BIGINT) AS hits FROM ({COUNT.format(SPLIT)})"),
+    "corpus_shuffled": (lambda s, d: shuffled(documents(s, d)), "SELECT translate(text, chr(10), ' ') AS text FROM documents"),
     "flagship": (flagship, f"SELECT syll_id, token, cnt FROM (SELECT syll_id, CASE WHEN syll_id IS NULL THEN token END AS token, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese OR strlen(token) <= 32 GROUP BY 1, 2) ORDER BY cnt DESC, syll_id NULLS FIRST, token LIMIT 300"),
 }
 _chars = f"(SELECT ch, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch)"
 _table["char_decode"] = (char_decode, f"SELECT ch, cnt, base, tone, vowel, bytes FROM {layers.sql(_chars, CHARS)}")
-_table["tone_histogram"] = (_table["tone_histogram"][0], f"SELECT tone, CAST(sum(cnt) AS BIGINT) AS cnt FROM {layers.sql(_chars, CHARS)} GROUP BY tone")
+_table["tone_histogram"] = (lambda s, d: char_decode(s, d).groupBy("tone").agg(F.sum("cnt").alias("cnt")), f"SELECT tone, CAST(sum(cnt) AS BIGINT) AS cnt FROM {layers.sql(_chars, CHARS)} GROUP BY tone")
 QUERIES = {k: f for k, (f, _) in _table.items()}
 SQL = {k: q for k, (_, q) in _table.items() if q}

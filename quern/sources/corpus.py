@@ -15,6 +15,11 @@ def files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).select(F.col("value").alias("text"))
 
 
+def shuffled(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Texts as single lines in random order; the sort deals by range, so no task holds all."""
+    return docs.select(F.translate("text", "\n", " ").alias("text")).orderBy(F.rand(seed))
+
+
 def shuffled_parts(docs: DataFrame, folder: str, rows: int, seed: int = 0) -> None:
     """The corpus in random order, in files of `rows` lines at most."""
-    docs.orderBy(F.rand(seed)).select(F.translate("text", "\n", " ").alias("value")).write.option("maxRecordsPerFile", rows).text(folder)
+    shuffled(docs, seed).select(F.col("text").alias("value")).write.option("maxRecordsPerFile", rows).text(folder)

@@ -12,7 +12,7 @@ def frame(rows, cols):
     return sorted(tuple(None if v != v else v for v in r) for r in rows.values.tolist()) if cols else []
 
 
-@pytest.mark.parametrize("name", ["token_counts", "nonalpha_counts", "type_stats", "char_decode", "syllable_fixture", "syllable_spelling", "syllable_counts", "token_route", "mapped_route", "bpe_pair_counts", "bpe_learn", "flagship"])
+@pytest.mark.parametrize("name", list(registry.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -33,3 +33,36 @@ def test_parts(spark):
     assert parts("coa") == ("c", "oa", "_none", "_none")
     assert not any(rows[t].can_be_vietnamese for t in ("quô", "quôc", "cuôc", "nh", "nz", "cac"))
     assert rows["qui"].syll_id != rows["quy"].syll_id and rows["hòa"].syll_id == rows["hoà"].syll_id
+
+
+def test_spelling(spark):
+    rows = {r.token: r for r in registry.QUERIES["syllable_fixture"](spark, SF).collect()}
+    text = {r.token: r.text for r in registry.QUERIES["syllable_spelling"](spark, SF).collect()}
+    assert text["hòa"] == "hoà" and text["coa"] == text["qùa"].replace("à", "a") == "qua" and text["NGHIÊNG"] == "nghiêng" and text["gìa"] == "ghìa"
+    assert set(text) == {t for t, r in rows.items() if r.can_be_vietnamese}
+
+
+def test_features(spark):
+    rows = {r.text: r for r in registry.QUERIES["syllable_features"](spark, SF).collect()}
+    assert rows["boong"].has_am_dem and not rows["bong"].has_am_dem
+    assert rows["an"].can_be_stop and not rows["an"].tone_is_stop and rows["át"].tone_is_stop
+    assert rows["ã"].is_harsh and rows["ạ"].is_harsh and not rows["á"].is_harsh
+    assert not rows["a"].full_dau and rows["đa"].full_dau and rows["đa"].has_mark and rows["đa"].no_mark == "d"
+    assert not rows["toa"].full_giua and rows["tuyên"].full_giua and not rows["ta"].full_giua
+    assert rows["tám"].full_all and not rows["tán"].full_all and not rows["tam"].full_all
+    assert rows["nghiếng"].len_all == 7
+
+
+def test_files_and_stream(spark, tmp_path):
+    from quern.sources.corpus import files, shuffled_parts
+    from quern.streaming.counts import token_counts
+
+    docs = spark.createDataFrame([("b a a",), ("a\nc",), (None,), ("",)], "text string")
+    folder = f"file://{tmp_path}/in"
+    shuffled_parts(docs, folder, 2)
+    assert sorted(r.text for r in files(spark, folder).collect() if r.text) == ["a c", "b a a"]
+    got = token_counts(spark, folder, f"file://{tmp_path}/state", f"file://{tmp_path}/out")
+    assert {(r.token, r.cnt) for r in got.collect()} == {("a", 3), ("b", 1), ("c", 1)}
+    spark.createDataFrame([("a d",)], "value string").write.mode("append").text(folder)
+    got = token_counts(spark, folder, f"file://{tmp_path}/state", f"file://{tmp_path}/out")
+    assert {(r.token, r.cnt) for r in got.collect()} == {("a", 4), ("b", 1), ("c", 1), ("d", 1)}
