@@ -25,11 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
+#: Removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Nothing reads the write's own shuffles afterwards, so their files go as soon as it ends.
+    """
     spark = df.sparkSession
-    at = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(at)
+    at, before = shared_dir(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
