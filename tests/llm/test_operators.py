@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, html, linededup, mixing, neardup, pitmanyor, quality, simhash, toxicity, warc
 
@@ -144,6 +145,21 @@ def test_language_model(spark):
     assert sum(x.score for x in held) > sum(x.base_score for x in held)  # word pairs are regular here
 
 
+def test_language_model_opens_restaurants_for_rare_contexts(spark):
+    r = random.Random(9)
+    pairs = [f"a{i} b{i}" for i in range(1500)]  # no word holds a thousandth of the tokens
+    texts = [" ".join(r.sample(pairs, 100)) for _ in range(150)]
+    rows = [x for x in pitmanyor.score(docs(spark, texts), F.col("doc_id") % 10 == 0).collect() if x.held_out]
+    gain = sum(x.score - x.base_score for x in rows) / sum(x.n_tokens for x in rows)
+    assert len(rows) == 15 and gain > 1  # every second word follows from the one before
+
+
+def test_language_model_sums_to_one():
+    c, t = np.array([5, 2, 0, 0]), np.array([2, 1, 0, 0])  # the last stands for all unknown words
+    p = np.array([0.4, 0.3, 0.2, 0.1])
+    assert math.isclose(pitmanyor._chance(c, t, np.full(4, 7), np.full(4, 3), p).sum(), 1) and np.allclose(pitmanyor._chance(c, t, np.zeros(4), np.zeros(4), p), p)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(7)
     x = r.normal(size=(300, 16))
