@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 import corpus_pipeline as cp
+from quern.llm import simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _k string, _id string, d string, _lines string, fp string, score string"
 PROSE = "the quick keeper of the old lighthouse counted every ship that passed the northern cape during the long winter of storms and wrote each name into a heavy book by the light of one lamp"
@@ -43,6 +46,29 @@ def test_near_duplicates_keeps_one_of_each_group(spark, sf):
     assert {tuple(r)[5:] for r in kept.collect()} == {("k", "i", "d", "l", "f", "x")}
 
 
+def test_near_copies_go_as_by_brute_force(spark, sf):
+    r = random.Random(11)
+    texts = []
+    for _ in range(25):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.choice((3, 30, 200, 400)))]
+        texts.append(w)
+        for _ in range(r.choice((1, 6))):  # copies with some words replaced, and copies of these
+            w = list(r.choice(texts[-3:]))
+            for _ in range(r.choice((0, 1, 4, 8, 15))):
+                w[r.randrange(len(w))] = f"x{r.randrange(5000)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    low = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    given = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    far = sum(((simhash.fingerprint(given[i][1]) ^ simhash.fingerprint(given[j][1])) & (2**64 - 1)).bit_count() > 2 for i, j in links)
+    assert far > 10  # pairs that links at two bits of three-word shingles would miss
+    assert pairs(cp.drop_near_duplicates(spark, rows(spark, given), sf)) == sorted([given[i] for i in set(low)], key=str)
+
+
 def test_contamination_of_one_row_spares_others_of_its_id(spark, sf):
     given = [(None, prose(1)), (None, f"{prose(2)} {ITEM}"), (5, prose(3)), (5, ITEM), (6, None), (7, ""), (8, f"Say. {ITEM}. {prose(4)}")]
     assert pairs(cp.drop_contaminated(spark, rows(spark, given), sf)) == sorted([(None, prose(1)), (5, prose(3)), (6, None), (7, "")], key=str)
