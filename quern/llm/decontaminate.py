@@ -6,6 +6,11 @@ sides and joined by hash. A document holds an item if windows that cover `least`
 found in it and its slots are consistent: each value in the item meets one value in the document,
 for `least` of the slots. So copies are caught, and the same question with other numbers or names.
 
+Each occurrence is judged by itself: hits are banded by document position minus item position, in
+bands as wide as the item that start at every half of its length, and in one band of the whole
+document; in a band each item position takes the hit nearest the most frequent shift. One band that
+passes is enough.
+
 The benchmark's windows thin out the documents' through a bitmap of fixed size (2 ** BITS bits)
 before anything is shuffled; the bitmap lets false windows pass, never drops a true one.
 
@@ -22,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, store, table
@@ -31,7 +36,8 @@ WORDS = 5
 BITS = 24
 NUMBER, NAME, UNIT = b"\x01", b"\x02", b"\x03"
 UNITS = "mm|cm|km|m|mg|kg|g|t|lb|lbs|oz|ml|l|hours?|hrs?|h|minutes?|mins?|min|seconds?|secs?|s|days?|weeks?|months?|years?|miles?|feet|foot|ft|inch|inches|in|yards?|dollars?|cents?|euros?|pounds?|percent|degrees?|meters?|metres?|kilometers?|kilometres?|kilograms?|grams?|liters?|litres?"
-SLOT = re.compile(rf"\d+(?:[.,:/]\d+)*|(?<=[^\W\d_][ ,;])\s?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?![^\W_])|(?<=\d)\s?(?:{UNITS})(?![^\W_])")
+SLOT = re.compile(rf"(?P<number>\d+(?:[.,:/]\d+)*)|(?P<name>(?<=[^\W\d_][ ,;])\s?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?![^\W_]))|(?P<unit>(?<=\d)\s?(?:{UNITS})(?![^\W_]))")
+MARK = {"number": " \x01 ", "name": " \x02 ", "unit": " \x03 "}
 BREAK = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00\x04\x05" else i for i in range(256))
 C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -41,22 +47,26 @@ def canonical(text: str) -> tuple[list[bytes], list[str]]:
     values: list[str] = []
 
     def slot(m: re.Match) -> str:
-        v = m[0].strip()
-        values.append(v.lower())
-        return " \x01 " if v[0].isdigit() else " \x02 " if v[0].isupper() else " \x03 "
+        values.append(m[0].strip().lower())
+        return MARK[m.lastgroup]
 
     t = SLOT.sub(slot, text.translate({1: " ", 2: " ", 3: " "}) if re.search("[\x01-\x03]", text) else text)
     return t.lower().encode("utf-8", "surrogatepass").translate(BREAK).split(), values
 
 
-def windows(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int], list[str]]:
+def windows(text: str | None) -> list[tuple[np.ndarray, np.ndarray, list[int], list[str]]]:
     """(hash of each window, its plain words, indices of placeholders, their values)."""
     words, values = canonical(text) if text else ([], [])
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), [], []
+        return []
     h64, n = xxhash.xxh64_intdigest, len(words)
     h = np.array([h64(w) for w in words], dtype=np.uint64)
     slots = [i for i, w in enumerate(words) if w in (NUMBER, NAME, UNIT)] if values else []
+    return [(*_windows(h, slots), slots, values)]
+
+
+def _windows(h: np.ndarray, slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h)
     plain = np.ones(n, np.int64)
     plain[slots] = 0
     k = min(WORDS, n)
@@ -66,7 +76,7 @@ def windows(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int], list[s
         out += (h[j : j + m] ^ (h[j : j + m] >> np.uint64(29))) * C[j]
         count += plain[j : j + m]
     out ^= out >> np.uint64(32)
-    return out * C[0], count, slots, values
+    return out * C[0], count
 
 
 def _rows(keep):
@@ -74,29 +84,30 @@ def _rows(keep):
     def run(it):
         table_ = None if keep is None else np.unpackbits(np.frombuffer(keep, np.uint8))
         for b in it:
-            ids, at, hs, plains, vals = [], [], [], [], []
+            ids, kinds, at, hs, plains, vals = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, plain, slots, values = windows(t)
-                hit = np.arange(len(h)) if table_ is None else np.flatnonzero(table_[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-                if not len(hit):
-                    continue
-                s = np.array(slots, np.int64)
-                lo, hi = np.searchsorted(s, hit), np.searchsorted(s, hit + WORDS)
-                ids += [i] * len(hit)
-                at += hit.tolist()
-                hs.append(h[hit])
-                plains.append(plain[hit])
-                vals += [values[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+                for kind, (h, plain, slots, values) in enumerate(windows(t)):
+                    hit = np.arange(len(h)) if table_ is None else np.flatnonzero(table_[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+                    if not len(hit):
+                        continue
+                    s = np.array(slots, np.int64)
+                    lo, hi = np.searchsorted(s, hit), np.searchsorted(s, hit + WORDS)
+                    ids += [i] * len(hit)
+                    kinds += [kind] * len(hit)
+                    at += hit.tolist()
+                    hs.append(h[hit])
+                    plains.append(plain[hit])
+                    vals += [values[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array((np.concatenate(hs) if hs else np.zeros(0, np.uint64)).view(np.int64)), cat(plains, np.int32), pa.array(vals, pa.list_(pa.string()))],
-                names=["id", "at", "h", "plain", "v"],
+                [pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array((np.concatenate(hs) if hs else np.zeros(0, np.uint64)).view(np.int64)), cat(plains, np.int32), pa.array(vals, pa.list_(pa.string()))],
+                names=["id", "kind", "at", "h", "plain", "v"],
             )
 
     return run
 
 
-ROW = "id long, at int, h long, plain int, v array<string>"
+ROW = "id long, kind int, at int, h long, plain int, v array<string>"
 
 
 def held(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
@@ -105,22 +116,33 @@ def held(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
     batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rows(None), ROW)
     items = store(items)
-    most = items.groupBy("id").agg(F.max("plain").alias("most"))
-    items = items.join(most.withColumnRenamed("id", "i2"), F.col("id").eqNullSafe(F.col("i2"))).filter("plain >= least(3, most)").select(F.col("id").alias("item_id"), "h", F.col("v").alias("iv"))
-    items = store(items.groupBy("item_id", "h").agg(F.min("iv").alias("iv")))
+    most = items.groupBy("id", "kind").agg(F.max("plain").alias("most"), (F.max("at") + WORDS).alias("wide"))
+    items = items.join(most.withColumnsRenamed({"id": "i2", "kind": "k2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("kind") == F.col("k2"))).filter("plain >= least(3, most)").select(F.col("id").alias("item_id"), "kind", F.col("at").alias("ia"), "wide", "h", F.col("v").alias("iv"))
+    items = store(items.distinct())
     cells = np.fromiter((r.c for r in items.select(F.shiftrightunsigned("h", 64 - BITS).alias("c")).distinct().toLocalIterator()), np.int64)  # 2 ** BITS at most
     bits = np.zeros(1 << BITS, np.uint8)
     bits[cells] = 1
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rows(np.packbits(bits).tobytes()), ROW).select(F.col("id").alias("doc_id"), "h", F.col("v").alias("dv")).distinct()
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rows(np.packbits(bits).tobytes()), ROW).select(F.col("id").alias("doc_id"), F.col("at").alias("da"), "h", F.col("v").alias("dv")).distinct()
     hits = store(found.join(items, "h"))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    pair = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("got"))
-    pair = pair.join(sizes.withColumnRenamed("item_id", "i2"), F.col("item_id").eqNullSafe(F.col("i2"))).withColumn("coverage", F.col("got") / F.col("size")).filter(F.col("coverage") >= least).select("doc_id", "item_id", "coverage")
-    slots = hits.filter("size(iv) > 0 and size(iv) = size(dv)").select("doc_id", "item_id", F.explode(F.arrays_zip("iv", "dv")).alias("p")).groupBy("doc_id", "item_id", "p.iv", "p.dv").agg(F.count("*").alias("n"))
-    slots = slots.groupBy("doc_id", "item_id", "iv").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy("doc_id", "item_id").agg((F.sum("top") / F.sum("n")).alias("consistency"))
-    s = slots.select(F.col("doc_id").alias("d2"), F.col("item_id").alias("i2"), "consistency")
-    out = pair.join(s, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("item_id").eqNullSafe(F.col("i2")), "left")
-    return out.select("doc_id", "item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")).filter(F.col("consistency") >= least)
+    sizes = items.groupBy("item_id", "kind").agg(F.countDistinct("h").alias("size"))
+    pair = hits.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("h").alias("got"))
+    pair = pair.join(sizes.withColumnsRenamed({"item_id": "i2", "kind": "k2"}), F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("kind") == F.col("k2"))).filter(F.col("got") / F.col("size") >= least)
+    pair = pair.select(F.col("doc_id").alias("d3"), F.col("item_id").alias("i3"), F.col("kind").alias("k3"), "size")
+    hits = hits.join(pair, F.col("doc_id").eqNullSafe(F.col("d3")) & F.col("item_id").eqNullSafe(F.col("i3")) & (F.col("kind") == F.col("k3")))
+    shift = hits.withColumn("off", F.col("da") - F.col("ia"))
+    shift = shift.withColumn("band", F.explode(F.expr("array(struct(0 as way, 0L as no), struct(1 as way, cast(floor(off / wide) as long) as no), struct(2 as way, cast(floor((off + wide / 2) / wide) as long) as no))")))
+    one = ["doc_id", "item_id", "kind", "band"]
+    usual = shift.withColumn("times", F.count("*").over(Window.partitionBy(*one, "off"))).withColumn("mode", F.max(F.struct("times", (-F.col("off")).alias("turned"))).over(Window.partitionBy(*one)))
+    # of each item position the hit nearest the most frequent shift, which mode has with its sign turned
+    near = usual.groupBy(*one, "ia", "size").agg(F.min(F.struct(F.abs(F.col("off") + F.col("mode")["turned"]).alias("far"), "da", "h", "iv", "dv")).alias("x")).select(*one, "ia", "size", "x.h", "x.iv", "x.dv")
+    near = store(near)
+    got = near.groupBy(*one, "size").agg((F.countDistinct("h") / F.col("size")).alias("coverage")).filter(F.col("coverage") >= least).drop("size")
+    slots = near.filter("size(iv) > 0 and size(iv) = size(dv)").select(*one, F.explode(F.arrays_zip("iv", "dv")).alias("p")).groupBy(*one, "p.iv", "p.dv").agg(F.count("*").alias("n"))
+    slots = slots.groupBy(*one, "iv").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy(*one).agg((F.sum("top") / F.sum("n")).alias("consistency"))
+    s = slots.select(F.col("doc_id").alias("d2"), F.col("item_id").alias("i2"), F.col("kind").alias("k2"), F.col("band").alias("b2"), "consistency")
+    out = got.join(s, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("kind") == F.col("k2")) & (F.col("band") == F.col("b2")), "left")
+    out = out.withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).filter(F.col("consistency") >= least)
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency")).alias("x")).select("doc_id", "item_id", "x.coverage", "x.consistency")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,18 @@ def test_decontamination(spark):
     assert decontaminate.held(docs(spark, ODD), bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "A train leaves Paris at 9 and travels 120 km before the driver called Anna stops to rest for 30 minutes"
+    other = "A train leaves Lyon at 7 and travels 450 km before the driver called Berta stops to rest for 10 minutes"
+    # no number is met twice alike, so each value of the template has two in the whole document
+    twice = " ".join(f"At the long market stall number {n} a farmer sells {m} baskets of ripe fruit to them." for n, m in ((3, 14), (8, 26), (5, 37)))
+    filler = "the river runs through the old town and past the mill where nobody has worked for many long years " * 3
+    bench = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    given = [f"{item}. {other}.", f"{item}. {filler}{other}. {filler}{other}.", twice, f"{filler}{twice} {filler}", filler]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.held(docs(spark, given), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (3, 2)}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [r.choice("bcdfglmnprst") + r.choice("aeiou") + r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(300)]
