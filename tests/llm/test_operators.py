@@ -110,6 +110,13 @@ def test_decontamination_judges_each_occurrence(spark):
     assert got == {(0, 1), (1, 1), (2, 2), (3, 2)}
 
 
+@pytest.mark.parametrize("case", [str.lower, str.upper, str.title])
+def test_decontamination_of_copies_in_another_case(spark, case):
+    item = "A train leaves Paris at 9 and travels 120 km before the driver called Anna stops to rest for 30 minutes"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.held(docs(spark, ["some other words that aren't in it at all", case(item)]), bench).collect()} == {1}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [r.choice("bcdfglmnprst") + r.choice("aeiou") + r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(300)]
