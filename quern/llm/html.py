@@ -34,6 +34,8 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: names of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe object svg math xmp noembed noframes select audio video canvas".split())
+#: Of these, what browsers read as text up to the page's end when it is left open; the others are then nodes like any other.
+TO_END = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base col embed hr input link meta param source track img br wbr keygen".split())
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "thead": ("thead tbody tfoot tr td th", "table"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table"), "option": ("option", "datalist")}
@@ -85,7 +87,7 @@ class Page:
         return bits, hidden
 
     def _parse(self, html: str) -> None:
-        stack, buf, at, linked, links = [0], [], 0, 0, 0
+        stack, buf, at, linked, links, unclosed = [0], [], 0, 0, 0, set()
         tags = self.tags
 
         def text(s: str) -> None:
@@ -122,11 +124,14 @@ class Page:
                 elif tag == "br":
                     buf.append(" ")
                 continue
-            if tag in RAW:
-                if not end and not m[3].rstrip(">").endswith("/"):
-                    over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            if tag in RAW and tag not in unclosed:
+                if end or m[3].rstrip(">").endswith("/"):
+                    continue
+                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                if over or tag in TO_END:
                     at = over.end() if over else len(html)
-                continue
+                    continue
+                unclosed.add(tag)  # no end tag follows
             self._flush(stack[-1], buf, linked)
             linked = 0
             if end:

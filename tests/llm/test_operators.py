@@ -223,3 +223,10 @@ def test_main_text(spark):
     got = {r.page_id: r.text for r in html.main_text(rows).collect()}
     assert got[1] == "Heads & tails\nThe first paragraph says a good deal about it.\nThe second one says more, and more."
     assert got[2] == got[3] == "" and len(got) == 5
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "object", "canvas", "video"])
+def test_main_text_after_a_tag_left_open(spark, tag):
+    page = f"<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><{tag} class=x><article><h1>Heads</h1><p>The first paragraph says a good deal about it.</p><p>The second one says more, and more.</p></article><footer>&copy; 2020</footer></body></html>"
+    rows = spark.createDataFrame([(1, "u", page, 0)], "page_id long, url string, html string, text int")
+    assert html.main_text(rows).first().text == "Heads\nThe first paragraph says a good deal about it.\nThe second one says more, and more."
