@@ -16,13 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made by this process, for cleanup().
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: spark.checkpoint.dir, or one of our own where it is unset."""
+    """A new folder that every executor reaches, below spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; a cluster raises, as executors would
+    each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*stored: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in stored:
+        if files := df.inputFiles():
+            remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes every stored table of this process; results that weren't written or collected can't be read afterwards."""
+    while MADE:
+        remove(spark, MADE.pop())
 
 
 #: Removes an execution's shuffle files at its end.
@@ -44,11 +73,6 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
