@@ -1,26 +1,28 @@
 """Removal of repeated line chunks (operator 6), DataFrame operations only.
 
-A document's lines are hashed, and a rolling hash over two neighbouring line hashes says where a
-chunk ends; so boundaries move along with a shifted passage. A line of `long_line` bytes or more is
-a chunk of its own. Chunks of two lines or more, and such long lines, whose hash occurs more than
-once are compared byte by byte (they are grouped by their text) and all but the first are removed;
-first is the smallest (doc_id, hash of the text, line). Short lines on either side that also equal
-those beside the first go with them, up to `reach`, so that a passage isn't left with its edges.
+A document's lines are hashed. A chunk ends where the bytes of its lines reach `least`, or at `most`
+lines; so a boundary depends on what the chunk holds, not on where it stands, and moves along with a
+shifted passage. A chunk starts at each line: boundaries chosen by one rolling hash leave a short
+passage without a whole chunk, so those of all phases are kept. Chunks, told by the rolled hash of
+their line hashes, that occur more than once are compared byte by byte (they are grouped by their
+text) and all but the first are removed; first is the smallest (doc_id, hash of the text, line). As
+chunks overlap, a repeated passage goes from its first line to its last.
 
-Hashes alone are counted; texts move twice: the candidates' for comparing, all for the result.
+Hashes alone are counted. Texts move once, all of them, to meet the chunks that occur again; those
+that have such chunks move a second time, to meet the decision.
 
 Defined cases: null and empty texts stay as they are; a document may lose all of its lines (its text
 is then empty); rows equal in doc_id and text are one document and lose the same lines; a null
-doc_id comes first; blank lines and chunks under `least` bytes are never removed by themselves; an
-empty table gives an empty table; other columns are kept.
+doc_id comes first; what repeats is left alone where it has neither `least` bytes nor `most` lines of
+`blank` bytes together; an empty table gives an empty table; other columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import forget, store, table
 
 
 def _once(expr):
@@ -28,80 +30,48 @@ def _once(expr):
     return F.explode(F.array(expr))
 
 
-def _chunks(docs: DataFrame, modulus: int, long_line: int, least: int) -> DataFrame:
+def _chunks(docs: DataFrame, least: int, most: int, blank: int) -> DataFrame:
     """(_id, _th, s, e, h): the chunks that may be removed."""
     d = docs.filter("text is not null").select("_id", "_th", _once(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("n")))).alias("l"))
-    # a chunk starts at line i if i is 0, line i or i - 1 is long, or the rolling hash ends one before i
-    starts = F.expr(f"filter(sequence(0, size(l) - 1), i -> i = 0 or l[i].n >= {long_line} or l[i - 1].n >= {long_line} or pmod(xxhash64(if(i > 1, l[i - 2].h, 0L), l[i - 1].h), {modulus}) = 0)")
-    d = d.withColumn("s", _once(starts)).withColumn("c", F.expr("transform(s, (x, i) -> struct(x as s, if(i + 1 < size(s), s[i + 1], size(l)) as e))")).select("_id", "_th", "l", F.explode("c").alias("c"))
-    d = d.select("_id", "_th", "c.s", "c.e", F.expr("slice(l, c.s + 1, c.e - c.s)").alias("l"))
-    d = d.withColumn("n", F.expr("aggregate(l, 0, (a, x) -> a + x.n)")).filter(f"n >= {least} and (e - s > 1 or n >= {long_line})")
-    return d.select("_id", "_th", "s", "e", F.expr("xxhash64(transform(l, x -> x.h))").alias("h"))
+    # from each line on as many lines as it takes to reach the bytes; the hash rolls along
+    roll = f"aggregate(slice(l, i + 1, {most}), struct(0 as k, 0 as n, 0L as h), (a, x) -> if(a.n >= {least}, a, struct(a.k + 1 as k, a.n + x.n as n, xxhash64(a.h, x.h) as h)))"
+    d = d.select("_id", "_th", F.posexplode(F.expr(f"transform(sequence(0, size(l) - 1), i -> {roll})")).alias("s", "c"))
+    return d.filter(f"c.n >= {least} or c.k = {most} and c.n >= {blank}").select("_id", "_th", "s", (F.col("s") + F.col("c.k")).alias("e"), "c.h")
 
 
-def dedup(docs: DataFrame, modulus: int = 3, long_line: int = 160, least: int = 40, reach: int = 6, lost: str = "_lines") -> DataFrame:
+def dedup(docs: DataFrame, least: int = 160, most: int = 8, blank: int = 40, lost: str = "_lines") -> DataFrame:
     """docs with repeated chunks taken out of text; the further column `lost` has how many lines went.
 
     All other columns travel under numbers, so that none clashes with a name used here.
     """
     other = {c: f"o{i}" for i, c in enumerate(docs.columns) if c != "text"}
     keyed = docs.select("text", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), *(F.col(f"`{c}`").alias(o) for c, o in other.items()))
-    once = keyed.select("_id", "_th", "text")
-    chunks = store(_chunks(once, modulus, long_line, least))
-    again = chunks.dropDuplicates(["_id", "_th", "s"]).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    seen = chunks.dropDuplicates(["_id", "_th", "s"]).join(again, "h", "left_semi").groupBy("_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("c"))
+    chunks = store(_chunks(keyed, least, most, blank))
+    again = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    seen = chunks.join(again.hint("merge"), "h", "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("c"))
     same = lambda a, b: a["_id"].eqNullSafe(b["id2"]) & (a["_th"] == b["th2"])
     spots = seen.select(F.col("_id").alias("id2"), F.col("_th").alias("th2"), "c")
-    found = once.dropDuplicates(["_id", "_th"]).join(spots, same(once, spots)).select("_id", "_th", "c", _once(F.split("text", "\n", -1)).alias("l")).select("_id", "_th", "l", F.explode("c").alias("c"))
-    found = found.select(
-        "_id", "_th", "c.s", "c.e", F.expr("array_join(slice(l, c.s + 1, c.e - c.s), '\\n')").alias("chunk"),
-        F.expr(f"transform(reverse(slice(l, greatest(c.s - {reach}, 0) + 1, least(c.s, {reach}))), x -> if(octet_length(x) < {long_line}, x, null))").alias("up"),
-        F.expr(f"transform(slice(l, c.e + 1, least(size(l) - c.e, {reach})), x -> if(octet_length(x) < {long_line}, x, null))").alias("down"),
-    )
-    found = store(found)
-    first = found.groupBy("chunk").agg(F.min(F.struct("_id", "_th", "s", "up", "down")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    drops = found.join(first, "chunk").filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th")) & (F.col("s") == F.col("first.s"))))
-    # lines in a row that equal those beside the first
-    run = lambda a: F.expr(f"size(filter(sequence(1, {reach}), k -> k <= least(size({a}), size(first.{a})) and slice({a}, 1, k) = slice(first.{a}, 1, k) and not exists(slice({a}, 1, k), x -> x is null)))")
-    drops = drops.select("_id", "_th", (F.col("s") - run("up")).alias("a"), (F.col("e") + run("down")).alias("b"))
-    drops = drops.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "b")).alias("d")).select(F.col("_id").alias("id2"), F.col("_th").alias("th2"), "d")
-    out = keyed.join(drops, same(keyed, drops), "left")
-    kept = F.expr("filter(split(text, '\\n', -1), (x, i) -> not exists(d, r -> i >= r.a and i < r.b))")
-    out = out.withColumn("_kept", _once(F.when(F.col("d").isNotNull(), kept)))
-    gone = F.when(F.col("_kept").isNotNull(), F.size(F.split("text", "\n", -1)) - F.size("_kept")).otherwise(0).cast("long")
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    return out.select(*((F.col(other[c]) if c in other else text).alias(c) for c in docs.columns), gone.alias(lost))
+    spotted = store(keyed.join(spots.hint("merge"), same(keyed, spots), "left").drop("id2", "th2"))
+    forget(chunks)
+    some = spotted.filter("c is not null")
+    found = some.select("_id", "_th", "c", _once(F.split("text", "\n", -1)).alias("l")).select("_id", "_th", "l", F.explode("c").alias("c"))
+    found = store(found.select("_id", "_th", "c.s", "c.e", F.expr("array_join(slice(l, c.s + 1, c.e - c.s), '\\n')").alias("chunk")))
+    first = store(found.groupBy("chunk").agg(F.min(F.struct("_id", "_th", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    drops = found.join(first.hint("merge"), "chunk").filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th")) & (F.col("s") == F.col("first.s"))))
+    # what stays between the ranges that go: from where all before have ended to where the next begins
+    upto = F.max("e").over(Window.partitionBy("_id", "_th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    stay = drops.groupBy("_id", "_th", "s").agg(F.max("e").alias("e")).withColumn("from", F.coalesce(upto, F.lit(0)))
+    stay = stay.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.when(F.col("s") > F.col("from"), F.struct("from", F.col("s").alias("to"))))).alias("d"), F.max("e").alias("last"))
+    stay = store(stay.select(F.col("_id").alias("id2"), F.col("_th").alias("th2"), "d", "last"))
+    forget(found, first)
+    out = some.drop("c").join(stay.hint("merge"), same(some, stay), "left")
+    out = out.withColumn("_all", _once(F.when(F.col("last").isNotNull(), F.split("text", "\n", -1))))
+    out = out.withColumn("_kept", _once(F.expr("concat(flatten(transform(d, r -> slice(_all, r.from + 1, r.to - r.from))), slice(_all, last + 1, size(_all) - last))")))
+    gone = F.when(F.col("last").isNotNull(), F.size("_all") - F.size("_kept")).otherwise(0).cast("long")
+    text = F.when(F.col("last").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    columns = lambda text, gone: [*((F.col(other[c]) if c in other else text).alias(c) for c in docs.columns), gone.alias(lost)]
+    return out.select(*columns(text, gone)).unionByName(spotted.filter("c is null").select(*columns(F.col("text"), F.lit(0).cast("long"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("lines_removed"))
-
-
-def brute(rows: list[tuple[int, str | None]], hash_of, modulus: int = 3, long_line: int = 160, least: int = 40, reach: int = 6) -> dict[tuple[int, str | None], str | None]:
-    """The same by plain loops, for tests; hash_of gives XXH64 with seed 42 chained over longs or of bytes, signed."""
-    n8 = lambda x: len(x.encode())
-    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0], hash_of(r[1])))
-    where: dict[str, list] = {}
-    for d, (_, t) in enumerate(docs):
-        lines = t.split("\n")
-        hs = [hash_of(x) for x in lines]
-        cut = [0] + [i for i in range(1, len(lines)) if n8(lines[i]) >= long_line or n8(lines[i - 1]) >= long_line or hash_of((hs[i - 2] if i > 1 else 0, hs[i - 1])) % modulus == 0] + [len(lines)]
-        for s, e in zip(cut, cut[1:]):
-            n = sum(map(n8, lines[s:e]))
-            if n >= least and (e - s > 1 or n >= long_line):
-                where.setdefault("\n".join(lines[s:e]), []).append((d, s, e))
-    drop: dict[int, set[int]] = {}
-    for spots in where.values():
-        d0, s0, e0 = spots[0]
-        l0 = docs[d0][1].split("\n")
-        for d, s, e in spots[1:]:
-            lines, a, b = docs[d][1].split("\n"), 0, 0
-            while a < reach and s - a > 0 and s0 - a > 0 and lines[s - a - 1] == l0[s0 - a - 1] and n8(lines[s - a - 1]) < long_line:
-                a += 1
-            while b < reach and e + b < len(lines) and e0 + b < len(l0) and lines[e + b] == l0[e0 + b] and n8(lines[e + b]) < long_line:
-                b += 1
-            drop.setdefault(d, set()).update(range(s - a, e + b))
-    out = {(i, t): t for i, t in rows}
-    for d, gone in drop.items():
-        out[docs[d]] = "\n".join(x for i, x in enumerate(docs[d][1].split("\n")) if i not in gone)
-    return out
