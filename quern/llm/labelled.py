@@ -14,8 +14,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
     """(doc_id, text, y): at most `rows` labelled rows outside the held-out remainder, by hash order of the id.
 
     A row with several labels takes the largest; null labels don't count. Ids and labels alone are
-    sorted; the chosen ones, `rows` at most, are broadcast to the texts.
+    sorted; the chosen ones, `rows` at most, are broadcast to the texts. Of several rows with one id
+    the text with the smallest hash is taken, so `rows` bounds the texts as well.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).filter(remainder(mod) != held)
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")

@@ -9,7 +9,8 @@ log determinant and prior).
 Defined cases: null, empty and wordless texts have a vector like any other and get a score; labels
 that are null or belong to no document don't count; of several labels of one document the largest
 counts; with one class only or none every score is that class's share (0.5 without labels); a
-null doc_id counts as '' for the remainder; repeated rows are scored alike; other columns are ignored.
+null doc_id counts as '' for the remainder; repeated rows are scored alike, also where a class has
+no other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, store, table
+from .common import store, table
 from .labelled import remainder
 
 KINDS = np.zeros(256, np.int64)  # 0 others; of bytes: 1 lower, 2 upper, 3 digit, 4 space, 5 line feed, 6 . and ,; 7 other marks; 8 past ASCII
@@ -32,6 +33,8 @@ for _c in b".,":
 for _c in b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~":
     KINDS[_c] = 7
 WIDTH = 22
+#: The least that is added to a covariance's diagonal, which is 1 for a statistic of usual spread; classes of equal texts have no spread.
+FLOOR = 1e-3
 
 
 def _logit(k, n):
@@ -67,7 +70,6 @@ def _vectors(it):
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_vectors, "doc_id long, x array<double>")
 
 
@@ -97,7 +99,7 @@ class Discriminant:
         self.scale, self.parts = scale, {}
         for k in (0, 1):
             c = ((1 - shrink) * cov[k] + shrink * pooled) / np.outer(scale, scale)
-            c = (1 - ridge) * c + ridge * np.trace(c) / WIDTH * np.eye(WIDTH)
+            c = (1 - ridge) * c + max(ridge * np.trace(c) / WIDTH, FLOOR) * np.eye(WIDTH)
             factor = np.linalg.cholesky(c)
             self.parts[k] = mean[k], np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum(), np.log(n[k] / sum(n.values()))
 
