@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, store, table
+from .common import components, store, table
 
 CHUNK = 1 << 16
 
@@ -62,7 +62,6 @@ def _prints(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, th, fp): th is the text's hash, by which rows of one id are told apart."""
-    batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(_prints(words, seed), "doc_id long, th long, fp long")
 
@@ -81,7 +80,7 @@ def links(fps: DataFrame, small: int = 64) -> DataFrame:
     two = F.expr("flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(cast(i * 64 + j as int) as ij, fp & ~shiftleft(1L, i) & ~shiftleft(1L, j) as v))))")
     wild = hot.select("fp", F.explode(two).alias("w")).select("fp", "w.ij", "w.v")
     least = wild.groupBy("ij", "v").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top")
-    stars = wild.join(least, ["ij", "v"]).filter("fp > b").select(F.col("fp").alias("a"), "b").distinct()
+    stars = wild.join(least.hint("merge"), ["ij", "v"]).filter("fp > b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
 
 
@@ -91,10 +90,10 @@ def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> D
     nodes = store(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")))
     comp = store(components(links(nodes.select("fp"), small)))
     # fingerprints that link with no other are their own root
-    roots = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    roots = nodes.join(comp.hint("merge"), nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = roots.groupBy("root").agg(F.min("low").alias("first"))
-    final = roots.join(low, "root").select("fp", "first")
-    return prints.join(final, "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
+    final = roots.join(low.hint("merge"), "root").select("fp", "first")
+    return prints.join(final.hint("merge"), "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
