@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, store, table
+from .common import shared_dir, store, table
 
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -51,46 +52,67 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"X-Page: {'' if page_id is None else page_id}",
         f"WARC-Target-URI: {' '.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: {_b32(sha)}", f"WARC-Block-Digest: {_b32(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def members(f: BinaryIO, step: int = 1 << 16) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, one at a time."""
+def members(f: BinaryIO, step: int = 1 << 16, most_head: int = 1 << 20) -> Iterator[bytes]:
+    """The inflated gzip members of a stream, one at a time, each framed while it is inflated.
+
+    A member is inflated `step` bytes at a time and no further than its header's Content-Length allows,
+    so one that was made to swell can't take more memory than it declares.
+    """
     rest = f.read(step)
     while rest:
-        z, parts = zlib.decompressobj(31), []
+        z, out, need = zlib.decompressobj(31), bytearray(), 0
         while not z.eof:
-            if not rest:
-                rest = f.read(step)
-                if not rest:
-                    raise WarcError("the archive ends inside a record")
+            rest = rest or f.read(step)
             try:
-                parts.append(z.decompress(rest))
+                got = z.decompress(rest, step)
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            rest = z.unused_data
-        yield b"".join(parts)
+            if not got and not rest:
+                raise WarcError("the archive ends inside a record")
+            out += got
+            rest = z.unconsumed_tail or z.unused_data
+            if not need and (end := out.find(b"\r\n\r\n", max(0, len(out) - len(got) - 3))) >= 0:
+                need = end + 8 + _length(_header(bytes(out[:end])))
+            if len(out) > (need or most_head):
+                raise WarcError("the block differs from its content length" if need else "no WARC header")
+        yield bytes(out)
         rest = rest or f.read(step)
 
 
-def parse(member: bytes) -> dict:
-    """A record's fields; its length and digests are verified."""
-    head, found, body = member.partition(b"\r\n\r\n")
+def _header(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not found or not lines[0].startswith("WARC/1."):
+    if not lines[0].startswith("WARC/1."):
         raise WarcError("no WARC header")
-    h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def _length(h: dict[str, str]) -> int:
     try:
         n = int(h["content-length"])
     except (KeyError, ValueError) as e:
         raise WarcError("no content length") from e
+    if n < 0:
+        raise WarcError("no content length")
+    return n
+
+
+def parse(member: bytes) -> dict:
+    """A record's fields; its length and digests are verified."""
+    head, found, body = member.partition(b"\r\n\r\n")
+    if not found:
+        raise WarcError("no WARC header")
+    h = _header(head)
+    n = _length(h)
     if len(body) != n + 4 or body[n:] != b"\r\n\r\n":
         raise WarcError("the block differs from its content length")
     block = body[:n]
@@ -102,15 +124,15 @@ def parse(member: bytes) -> dict:
     kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "")
     if kind != "revisit" and (size != len(payload) or digest != _b32(hashlib.sha1(payload).digest())):
         raise WarcError("payload digest or length differs")
-    number = lambda x: int(x) if (x := (x or "").removeprefix("<urn:x-page:").removesuffix(">")) else None
+    number = lambda x: int(x) if x else None
     return {
-        "page_id": number(h.get("warc-record-id")), "url": h.get("warc-target-uri", ""), "record_type": kind, "refers_to": number(h.get("warc-refers-to")) if kind == "revisit" else None,
+        "page_id": number(h.get("x-page")), "url": h.get("warc-target-uri", ""), "record_type": kind, "refers_to": number(h.get("x-refers-to-page")) if kind == "revisit" else None,
         "payload_bytes": size, "payload_digest": base64.b32decode(digest.removeprefix("sha1:")).hex(), "payload": None if kind == "revisit" else payload,
     }
 
 
 def _open(path: str, mode: str):
-    fs, at = pa.fs.FileSystem.from_uri(path)
+    fs, at = pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
     if mode == "r":
         return fs.open_input_stream(at)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -163,7 +185,6 @@ def decisions(pages: DataFrame, least: int) -> DataFrame:
 def write(pages: DataFrame, least: int = 1000, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes archives; returns their stored manifest."""
     spark = pages.sparkSession
-    batches(spark, 500)
     folder = shared_dir(spark)
     return store(decisions(pages, least).mapInArrow(_writer(folder, archive_bytes), MANIFEST))
 
