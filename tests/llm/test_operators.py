@@ -32,14 +32,52 @@ def h42(x):
 ODD = [None, "", " \n\t ", "a", "a", "one two", "x " * 30_000]
 
 
+def same_as_sql(spark, name, sf="/root/testdata/sf0.001"):
+    import os
+
+    import duckdb
+
+    from quern.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.sql(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{sf}/{t}'")
+    got = QUERIES[name](spark, sf).toPandas()
+    want = con.sql(SQL[name]).df()[list(got.columns)]
+    clean = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).assign(**{c: df[c].astype("Int64") for c in df.columns if df[c].dtype.kind in "if" and c != "target"}).values.tolist()))
+    assert len(got) and clean(got) == clean(want)
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op10_warc"])
+def test_query_is_same_as_its_sql(spark, name):
+    same_as_sql(spark, name)
+
+
 def test_mixing(spark):
     texts = ODD + [" ".join(["w"] * n) for n in (5, 50, 500, 70)]
     rows = mixing.mix(docs(spark, texts)).collect()
-    assert len(rows) == len(texts) and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert len(rows) == len(texts) and all(0 <= r.taken <= 2 * r.size and (r.blocks > 0) == (r.taken > 0) == (r.first_slot is not None) for r in rows)
     for t in {(r.source_size, r.target) for r in rows}:
-        assert abs(sum(r.taken for r in rows if (r.source_size, r.target) == t) - t[1]) <= 1 and t[1] <= 2 * t[0]
+        assert abs(sum(r.taken for r in rows if (r.source_size, r.target) == t) - t[1]) <= 4 and t[1] <= 2 * t[0]
     assert abs(sum({r.source_size: r.target for r in rows}.values()) - 1.5 * sum(r.size for r in rows)) < 1e-6
+    other = mixing.mix(docs(spark, texts), step=0.5).collect()
+    assert sorted((r.doc_id, r.first_slot) for r in rows if r.blocks) != sorted((r.doc_id, r.first_slot) for r in other if r.blocks)
     assert mixing.mix(docs(spark, texts).limit(0)).count() == 0
+    alone = [(None, "a b c"), (None, "a b c"), (None, "d e"), (7, None)]
+    got = mixing.mix(spark.createDataFrame([(i, t, "en", None, 1, "x") for i, t in alone], DOC)).collect()
+    assert sum(r.taken for r in got) == 12 and len(got) == 4
+
+
+def test_mixing_schedule_has_low_discrepancy(spark):
+    goals = spark.createDataFrame([("a", 500.0), ("b", 300.0), (None, 199.9), ("c", 0.1)], "source string, target double")
+    rows = sorted((r.slot, r.source, r.rank) for r in mixing.schedule(spark, goals.withColumn("target", F.col("target") * 1000), 5000).na.fill("-").collect())
+    seen = Counter()
+    for i, (slot, source, rank) in enumerate(rows):
+        assert slot == i and rank == seen[source]
+        seen[source] += 1
+        if slot < 5000:
+            assert all(abs(seen[s] - (i + 1) * t / 1000) < 5 for s, t in (("a", 500), ("b", 300), ("-", 199.9), ("c", 0.1)))
+    assert mixing.blocks(10, 65536, 65536) == (1, 10) and mixing.blocks(10**13, 65536, 65536) == (65536, 152587891)
 
 
 def test_simhash(spark):
@@ -77,17 +115,54 @@ def test_simhash_links_of_a_large_group(spark, small):
     assert {v for v in values if (v ^ center).bit_count() <= 2} <= seen
 
 
+def brute_lines(rows, least=160, most=8, blank=40):
+    """Line dedup by plain loops: {(doc_id, text): new text}."""
+    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0], h42(r[1])))
+    where = {}
+    for d, (_, t) in enumerate(docs):
+        lines = t.split("\n")
+        for s in range(len(lines)):
+            e = n = 0
+            while e < most and s + e < len(lines) and n < least:
+                n += len(lines[s + e].encode())
+                e += 1
+            if n >= least or e == most and n >= blank:
+                where.setdefault("\n".join(lines[s : s + e]), []).append((d, s, s + e))
+    drop = {}
+    for spots in where.values():
+        for d, s, e in spots[1:]:
+            drop.setdefault(d, set()).update(range(s, e))
+    out = {(i, t): t for i, t in rows}
+    for d, gone in drop.items():
+        out[docs[d]] = "\n".join(x for i, x in enumerate(docs[d][1].split("\n")) if i not in gone)
+    return out
+
+
 def test_line_dedup_same_as_brute_force(spark):
     r = random.Random(3)
-    line = lambda: " ".join(r.choice("abcdefghij") * r.randint(1, 6) for _ in range(r.choice((3, 9, 60))))
-    shared = ["\n".join(line() for _ in range(r.randint(1, 6))) for _ in range(8)]
+    line = lambda: " ".join(r.choice("abcdefghij") * r.randint(1, 6) for _ in range(r.choice((1, 3, 9, 60))))
+    shared = ["\n".join(line() for _ in range(r.randint(1, 9))) for _ in range(8)] + ["\n" * 12, "x\n" * 30, "\n".join(["same line of words"] * 20)]
     texts = ODD + ["\n".join(r.choice(shared) if r.random() < 0.4 else line() for _ in range(r.randint(1, 9))) for _ in range(60)]
-    out = {x.doc_id: x.text for x in linededup.dedup(docs(spark, texts)).collect()}
-    want = linededup.brute(list(enumerate(texts)), h42)
-    assert out == {i: want[i, t] for i, t in enumerate(texts)} and out != dict(enumerate(texts))
+    given = [(i, t) for i, t in enumerate(texts)] + [(20, texts[20]), (None, texts[21]), (None, texts[22]), (30, texts[33])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in given], DOC)
+    out = [(x.doc_id, x.text) for x in linededup.dedup(df).collect()]
+    want = brute_lines(given)
+    assert sorted(out, key=str) == sorted(((i, want[i, t]) for i, t in given), key=str) and {t for _, t in out} != set(texts)
     assert linededup.dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lines, words", [(1, 60), (3, 18), (4, 14), (6, 9), (10, 6), (26, 2)])
+def test_line_dedup_takes_whole_passages(spark, lines, words):
+    r = random.Random(lines)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    row = lambda: " ".join(word() for _ in range(words))
+    passage = "\n".join(row() for _ in range(lines))
+    own = [[row() for _ in range(6)] for _ in range(12)]
+    texts = ["\n".join([*x[:k], passage, *x[k:]]) for k, x in zip([0, 6, *range(1, 6), 0, 6, 2, 3, 4], own)]
+    out = {x.doc_id: x.text for x in linededup.dedup(docs(spark, texts)).collect()}
+    assert out[0] == texts[0] and all(out[i] == "\n".join(own[i]) for i in range(1, 12))
+
+
 def test_decontamination(spark):
     item = "A train leaves Paris at 9 and travels 120 km before the driver called Anna stops to rest for 30 minutes"
     other = "A train leaves Paris at 7 and travels 450 km before the driver called Berta stops to rest for 10 minutes"
@@ -130,10 +205,12 @@ def test_toxicity(spark):
         labels.append((i, int(bad)))
     restore, lexicon = toxicity.trained(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
     score = lambda t: lexicon.score(restore.distinct(t))
-    for t in ("you r0tter", "r o t t e r", "rrrotterrr", "sc0undre1", "s.c.o.u.n.d.r.e.l"):
+    for t in ("you r0tter", "r o t t e r", "rrrotterrr", "sc0undre1", "s.c.o.u.n.d.r.e.l", "b a m o r o t t e r", "r o t t e r s c o u n d r e l", "r\u043ett\u0435r", "\uff52\uff4f\uff54\uff54\uff45\uff52"):
         assert score(" ".join(words[:20]) + " " + t) >= 0.3, (t, restore(t))
     assert score(" ".join(words[:40])) < 0.3 and score(None) == score("") < 0.3
-    assert restore("r0tter") == "rotter"
+    assert restore("r0tter") == "rotter" and restore("r o t t e r s c o u n d r e l") == "rotter scoundrel"
+    long = "r o t t e r " * 20_000
+    assert len(restore(long)) > 100_000 and score(long) >= 0.3
     assert toxicity.classify(docs(spark, ODD), restore, lexicon).count() == len(ODD)
 
 
@@ -212,7 +289,11 @@ def test_warc(spark):
     data = warc.record(7, "u", b"body")
     broken = gzip.compress(gzip.decompress(data).replace(b"body", b"bodi"))
     assert warc.read_bytes(data + data)[1]["page_id"] == 7
-    for bad in (broken, data[:-9], b"junk"):
+    swollen = gzip.compress(gzip.decompress(data) + bytes(1 << 24))
+    short = gzip.compress(gzip.decompress(data).replace(b"body", b"bo"))
+    many = [bytes([i]) * (i * 977) for i in range(150)]
+    assert [x["payload"] for x in warc.read_bytes(b"".join(warc.record(i, "u", p) for i, p in enumerate(many)))] == many
+    for bad in (broken, data[:-9], b"junk", swollen, short, gzip.compress(bytes(1 << 22))):
         with pytest.raises(warc.WarcError):
             warc.read_bytes(bad)
 
