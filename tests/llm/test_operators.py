@@ -229,7 +229,7 @@ def test_language_model(spark):
     from quern.llm.labelled import remainder
 
     r = random.Random(6)
-    texts = ODD[:-1] + [" ".join(r.choice(("red fox", "blue sky", "old man", f"w{r.randrange(40)}")) for _ in range(30)) for _ in range(80)]
+    texts = ODD + [" ".join(r.choice(("red fox", "blue sky", "old man", f"w{r.randrange(40)}")) for _ in range(30)) for _ in range(80)]
     rows = {x.doc_id: x for x in pitmanyor.score(docs(spark, texts), remainder(10) == 0).collect()}
     tok = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
     c = Counter(w for i, t in tok.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
@@ -239,6 +239,21 @@ def test_language_model(spark):
         assert math.isclose(rows[i].base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
     held = [x for x in rows.values() if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)  # word pairs are regular here
+    one = docs(spark, texts[7:40])
+    again = {x.doc_id: x for x in pitmanyor.score(one, remainder(10) == 0, bucket_chars=100).collect()}
+    for x in pitmanyor.score(one, remainder(10) == 0).collect():  # as many buckets or more: the same seats
+        assert math.isclose(x.score, again[x.doc_id].score, rel_tol=1e-9)
+    split = pitmanyor.score(docs(spark, texts), remainder(10) == 0, hot=500).collect()  # hot words in classes
+    assert sum(x.score for x in split if x.held_out) > sum(x.base_score for x in held)
+
+
+def test_language_model_of_odd_tables(spark):
+    assert pitmanyor.score(docs(spark, []), F.lit(False)).count() == 0
+    rows = pitmanyor.score(docs(spark, ["a b", None, "a b"]), F.lit(True)).collect()  # nothing to learn from
+    assert len(rows) == 3 and all(x.train_tokens == x.n_known == 0 and math.isclose(x.base_score, 0, abs_tol=1e-9) for x in rows)
+    odd = spark.createDataFrame([(None, "a b c", 1), (None, "a b d", 1), (3, "a b c", 1), (3, "a b c", 1)], "doc_id long, text string, score int")
+    rows = pitmanyor.score(odd, F.lit(False)).collect()
+    assert sorted((x.doc_id or 0, x.n_tokens) for x in rows) == [(0, 4), (0, 4), (3, 4), (3, 4)] and all(x.train_tokens == 16 for x in rows)
 
 
 def test_language_model_opens_restaurants_for_rare_contexts(spark):
@@ -250,10 +265,119 @@ def test_language_model_opens_restaurants_for_rare_contexts(spark):
     assert len(rows) == 15 and gain > 1  # every second word follows from the one before
 
 
+def tree_of(words, train=None, extra=()):
+    """A tree of numbered words, each after the three before it; extra: (u, v, x, w) that are no customers."""
+    w = np.array([0, 0, 0, *words], np.uint64)
+    u, v, x, w = w[2:-1], w[1:-2], w[:-3], w[3:]
+    more = [np.array(y, np.uint64) for y in zip(*extra)] if extra else [np.zeros(0, np.uint64)] * 4
+    u, v, x, w = (np.concatenate(y) for y in zip((u, v, x, w), more))
+    return pitmanyor.Tree(u, v, x.astype(np.uint16), w, np.arange(len(w)) < len(words)), w
+
+
 def test_language_model_sums_to_one():
-    c, t = np.array([5, 2, 0, 0]), np.array([2, 1, 0, 0])  # the last stands for all unknown words
-    p = np.array([0.4, 0.3, 0.2, 0.1])
-    assert math.isclose(pitmanyor._chance(c, t, np.full(4, 7), np.full(4, 3), p).sum(), 1) and np.allclose(pitmanyor._chance(c, t, np.zeros(4), np.zeros(4), p), p)
+    r = np.random.default_rng(1)
+    words = r.integers(1, 9, 400)
+    for context in ((3, 4, 5), (int(words[9]), int(words[8]), int(words[7])), (77, 78, 79)):
+        tree, w = tree_of(words, extra=[(*context, k) for k in range(1, 10)])  # word 9 isn't known
+        m = tree.sent()
+        m[tree.words == 9] = 0
+        t = pitmanyor.root_tables(tree.words, m, 8, 8.0, 0)
+        root = pitmanyor.root_chances(m, t, 8, m.sum(), t.sum())
+        assert math.isclose(root.sum(), 1)
+        for _ in range(3):
+            tree.sweep(root)
+            assert math.isclose(tree.chances(root)[tree.leaf[-9:]].sum(), 1)
+            for k in range(3):
+                assert (tree.t[k] <= tree.c[k]).all() and ((tree.t[k] > 0) == (tree.c[k] > 0)).all()
+                assert (tree.all_c[k] == np.bincount(tree.rest[k], tree.c[k])).all() and (tree.all_t[k] == np.bincount(tree.rest[k], tree.t[k])).all()
+                assert k == 2 or (tree.c[k] == np.bincount(tree.up[k + 1], tree.t[k + 1], len(tree.c[k]))).all()
+
+
+def seats_by_hand(words, root, sweeps, seed):
+    """Customers at tables, moved one at a time: the mean probability of each (context, word) seen, after a third of the sweeps."""
+    r, levels = random.Random(seed), [pitmanyor.LEVELS[k] for k in range(3)]
+    rooms = {}  # context -> word -> sizes of tables
+
+    def chance(context, w):
+        if not context:
+            return root[w]
+        d, s = levels[len(context) - 1]
+        room = rooms.get(context, {})
+        sizes = room.get(w, [])
+        n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        return (sum(sizes) - d * len(sizes) + (s + d * t) * chance(context[:-1], w)) / (s + n)
+
+    def sit(context, w):
+        if not context:
+            return
+        d, s = levels[len(context) - 1]
+        room = rooms.setdefault(context, {})
+        sizes = room.setdefault(w, [])
+        fresh = (s + d * sum(map(len, room.values()))) * chance(context[:-1], w)
+        at = r.random() * (sum(sizes) - d * len(sizes) + fresh)
+        for i, n in enumerate(sizes):
+            at -= n - d
+            if at < 0:
+                sizes[i] += 1
+                return
+        sizes.append(1)
+        sit(context[:-1], w)
+
+    def leave(context, w):
+        if not context:
+            return
+        sizes = rooms[context][w]
+        i = r.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            leave(context[:-1], w)
+
+    p = [0, 0, 0, *words]
+    seen = [((p[i - 1], p[i - 2], p[i - 3]), p[i]) for i in range(3, len(p))]
+    total, n = Counter(), 0
+    for c, w in seen:
+        sit(c, w)
+    for k in range(sweeps):
+        for c, w in seen:
+            leave(c, w)
+            sit(c, w)
+        if k >= sweeps // 3:
+            n += 1
+            for c, w in set(seen):
+                total[c, w] += chance(c, w)
+    return {k: x / n for k, x in total.items()}
+
+
+def test_language_model_seats_as_a_sampler_of_single_customers():
+    r = random.Random(5)
+    words = [w for _ in range(25) for w in r.choice(([1, 2, 3], [1, 2, 4], [1, 1, 2], [5]))]
+    root = {w: 0.2 for w in range(1, 6)}
+    want = seats_by_hand(words, root, 3000, 1)
+    tree, w = tree_of(words)
+    p, mean = np.array([0.2] * len(tree.words)), 0.0
+    for k in range(3000):
+        tree.sweep(p, colours=None)
+        mean = mean + tree.chances(p) * (k >= 1000) / 2000
+    q = [0, 0, 0, *words]
+    for i, leaf in enumerate(tree.leaf):
+        assert abs(mean[leaf] - want[(q[i + 2], q[i + 1], q[i]), q[i + 3]]) < 0.015
+    # and all at once
+    tree, mean = tree_of(words)[0], 0.0
+    for k in range(1500):
+        tree.sweep(p)
+        mean = mean + tree.chances(p) * (k >= 500) / 1000
+    assert all(abs(mean[leaf] - want[(q[i + 2], q[i + 1], q[i]), q[i + 3]]) < 0.03 for i, leaf in enumerate(tree.leaf))
+
+
+def test_language_model_in_stretches_is_near_the_exact_draw():
+    key, n = np.arange(3000, dtype=np.uint64), 3000
+    for base, rest in ((0.3, 5), (0.01, 40)):
+        exact = pitmanyor.stirling(0.75)[1000, 1:1001] + np.cumsum(np.log((1 + 0.75 * (rest + np.arange(1000))) * base))
+        p = np.exp(exact - exact.max())
+        mean = (np.arange(1, 1001) * p).sum() / p.sum()
+        got = pitmanyor._stretches(key, 0, np.full(n, 1000), np.full(n, rest), np.full(n, base), 0.75, 1.0).mean()
+        assert abs((1000 - 0.75 * got) / (1000 - 0.75 * mean) - 1) < 0.1  # what the dish's probability depends on
 
 
 def test_embeddings(spark):
