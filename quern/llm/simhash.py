@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import components, store, table
 
 CHUNK = 1 << 16
@@ -96,5 +97,16 @@ def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> D
     return prints.join(final.hint("merge"), "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, th, node, component_id, kept) for every row, linked at a Jaccard similarity of their five-word shingles.
+
+    At 0.8 two 64-bit fingerprints differ in 10 bits on average (sf0.1: 3 to 11), which segments that
+    differ by one bit at most would have to be about six bits long for: every text would meet every
+    other. So the same index, segments with one part struck out, stands on sketches of minima, which
+    agree with the chance of the similarity itself.
+    """
+    return shingles.dedup(docs, least)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
