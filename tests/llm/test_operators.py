@@ -192,6 +192,79 @@ def test_decontamination_of_copies_in_another_case(spark, case):
     assert {r.doc_id for r in decontaminate.held(docs(spark, ["some other words that aren't in it at all", case(item)]), bench).collect()} == {1}
 
 
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    item = "A train leaves Paris at 9 and travels 120 km before the driver called Anna stops to rest for 30 minutes"
+    half = len(item) // 2
+    bench = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    rows = [(None, item[:half]), (None, item[half:]), (4, item[:half]), (4, item[half:]), (5, "something else entirely here"), (5, item), (6, item), (6, item)]
+    got = decontaminate.held(spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, own double"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(5, 1, 1.0), (6, 1, 1.0)]
+    assert decontaminate.held(spark.createDataFrame([(None, item)], "doc_id long, text string"), bench).first().doc_id is None
+
+
+@pytest.mark.parametrize("names", [("Berta", "Lyon"), ("Anna Maria", "New York"), ("Jean Paul Marie", "Rome")])
+def test_decontamination_of_other_names(spark, names):
+    item = "The old clerk called Anna walked from the station at Paris to a market and bought 12 apples for 30 cents each"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    text = item.replace("Anna", names[0]).replace("Paris", names[1]).replace("12", "7")
+    assert {r.doc_id for r in decontaminate.held(docs(spark, [f"So then. {text}. And so on it went."]), bench).collect()} == {0}
+
+
+def brute_held(docs_, items, least=0.8):
+    """Items that documents hold, window by window, occurrence by occurrence, without bitmap, candidates or joins."""
+    got = set()
+    for d, text in docs_:
+        for i, item in items:
+            for kind, (h, plain, slots, values) in enumerate(decontaminate.windows(item)):
+                need = min(3, int(plain.max()))
+                want = [k for k in range(len(h)) if plain[k] >= need]
+                size, wide = len({int(h[k]) for k in want}), len(h) - 1 + decontaminate.WORDS
+                dh, _, dslots, dvalues = decontaminate.windows(text)[kind] if decontaminate.windows(text) else ([], [], [], [])
+                pairs = [(a, k) for k in want for a in range(len(dh)) if dh[a] == h[k]]
+                inside = lambda slots, values, at: [v for s, v in zip(slots, values) if at <= s < at + decontaminate.WORDS]
+                for band in {("all", 0)} | {(w, math.floor((a - k + w * wide / 2) / wide)) for a, k in pairs for w in (0, 1)}:
+                    mine = [(a, k) for a, k in pairs if band[0] == "all" or math.floor((a - k + band[0] * wide / 2) / wide) == band[1]]
+                    if not mine:
+                        continue
+                    times = Counter(a - k for a, k in mine)
+                    usual = min(times, key=lambda o: (-times[o], o))
+                    near = {}
+                    for a, k in mine:
+                        near[k] = min(near.get(k, (1 << 60, 0)), (abs(a - k - usual), a))
+                    if len({int(h[k]) for k in near}) / size < least:
+                        continue
+                    met = Counter()
+                    for k, (_, a) in near.items():
+                        x, y = inside(slots, values, k), inside(dslots, dvalues, a)
+                        if x and len(x) == len(y):
+                            met.update(zip(x, y))
+                    of = {}
+                    for (x, y), n in met.items():
+                        of.setdefault(x, []).append(n)
+                    if not of or sum(max(n) for n in of.values()) / sum(map(sum, of.values())) >= least:
+                        got.add((d, i))
+    return got
+
+
+def test_decontamination_same_as_brute_force(spark):
+    r = random.Random(12)
+    words = [r.choice("bcdfglm") + r.choice("aeiou") + r.choice("nrst") for _ in range(25)]
+    part = lambda: r.choice([str(r.randint(1, 99)), f"{r.randint(1, 99)} km", r.choice(["Anna", "Berta", "New York"]), *[r.choice(words)] * 7])
+    items = [(i, "so " + " ".join(part() for _ in range(r.randint(3, 25)))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        w = [part() for _ in range(r.randint(0, 30))]
+        for _, item in r.sample(items, 2):
+            x = item.split()
+            for _ in range(r.choice((0, 0, 1, 2, 4))):
+                x[r.randrange(len(x))] = part()
+            w[(k := r.randint(0, len(w))) : k] = x
+        texts.append(" ".join(w))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.held(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_held(list(enumerate(texts)), items)
+    assert got == want and 30 < len(want) < 120
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [r.choice("bcdfglmnprst") + r.choice("aeiou") + r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(300)]
