@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-# fixed values: names of the parts, in the order that ids are made of
+# fixed values: names of the parts, in the order that ids are made of, and how they are written
 INITIALS = "_none b c d q g h l m n p r s t v x ch gi kh ng nh ph th tr zd".split()
 NUCLEI = "a e i o u y az aw ez oz ow uw oa oe oo uy ua uo iez oaw uaz uez uoz uow u_ow uyez ah oah".split()
 FINALS = "_none i u m n ng c p t ch nh y o".split()
@@ -45,6 +45,9 @@ def _name(col: str, names: list[str]) -> str:
     return f"CASE {col} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
 
 
+UPPER = "".join(c for c in FROM if c != c.lower())
+
+
 def letters(col: str) -> dict[str, str]:
     return {"base": f"translate({col}, '{FROM}', '{BASE}')", "tones": f"translate({col}, '{FROM}', '{TONE}')"}
 
@@ -108,6 +111,20 @@ DECODE = [
         "am_cuoi": "CASE WHEN raw_cuoi = 'i' AND raw_giua IN ('aw', 'oaw', 'az', 'uaz') THEN 'y' WHEN raw_cuoi = 'u' AND raw_giua IN ('aw', 'oaw', 'e', 'oe') THEN 'o' WHEN raw_cuoi = 'ng' AND raw_giua IN ('ez', 'i', 'uez', 'uy', 'ah', 'oah') THEN 'nh' WHEN raw_cuoi = 'c' AND raw_giua IN ('ez', 'i', 'uez', 'uy', 'ah', 'oah') THEN 'ch' ELSE raw_cuoi END",
     },
 ]
+#: Parts that can't be enumerated: helper nuclei, and uoz without a final.
+INVALID = "am_giua IN ('ah', 'oah') OR am_giua = 'uoz' AND am_cuoi = '_none'"
+#: Parts as they are decoded -> n_dau, n_giua, n_cuoi in normal form, as parsing gives it; sounds: whether they can be a syllable.
+NORMAL = [
+    {
+        "sounds": f"NOT (am_dau = 'gi' AND (am_giua = 'iez' OR am_giua = 'i' AND am_cuoi <> '_none')) AND NOT (am_giua IN ('ui', 'ue') AND am_dau <> 'q') AND NOT (am_giua IN ('uy', 'uez', 'uaz', 'uyez') AND am_dau = 'c') AND NOT (am_giua = 'uyez' AND am_cuoi IN {_in('ng', 'ch', 'nh')}) AND NOT ({INVALID})",
+        "as_c": "am_dau = 'q' AND (am_giua IN ('ua', 'ue', 'ui') OR am_giua = 'u' AND am_cuoi = 'i')",
+    },
+    {
+        "n_dau": "CASE WHEN as_c THEN 'c' WHEN am_dau = 'g' AND am_giua = 'i' AND am_cuoi = '_none' THEN 'gi' ELSE am_dau END",
+        "n_giua": "CASE WHEN as_c THEN CASE am_giua WHEN 'ua' THEN 'oa' WHEN 'ue' THEN 'oe' ELSE 'uy' END WHEN am_dau = 'gi' AND am_giua = 'ez' AND am_cuoi <> '_none' THEN 'iez' ELSE am_giua END",
+        "n_cuoi": "CASE WHEN as_c AND am_giua = 'u' THEN '_none' ELSE am_cuoi END",
+    },
+]
 EI_Y = "substr(am_giua, 1, 1) IN ('e', 'i', 'y')"
 TONED = "".join(unicodedata.normalize("NFC", v + m) for m in MARKS.values() for v in VOWELS)
 SPELL = [
@@ -120,8 +137,6 @@ SPELL = [
     {"marked": "CASE WHEN mark_at = 0 THEN body ELSE concat(substr(body, 1, mark_at - 1), CASE tone " + " ".join(f"WHEN '{t}' THEN translate(bare, '{''.join(VOWELS)}', '{TONED[12 * i:12 * i + 12]}')" for i, t in enumerate(MARKS)) + " ELSE bare END, substr(body, mark_at + 1)) END"},
     {"text": "concat(head, marked, CASE WHEN am_cuoi = '_none' THEN '' ELSE am_cuoi END)"},
 ]
-#: Parts that can't be enumerated: helper nuclei, and uoz without a final.
-INVALID = "am_giua IN ('ah', 'oah') OR am_giua = 'uoz' AND am_cuoi = '_none'"
 FEATURES = {
     "len_dau": f"CASE WHEN am_dau = '_none' THEN 0 WHEN am_dau IN {_in('ch', 'gi', 'kh', 'ng', 'nh', 'ph', 'th', 'tr', 'zd')} THEN 2 ELSE 1 END",
     "len_giua": f"CASE WHEN am_giua IN {_in('a', 'e', 'i', 'o', 'u', 'y', 'az', 'aw', 'ez', 'oz', 'ow', 'uw')} THEN 1 WHEN am_giua = 'uyez' THEN 3 ELSE 2 END",

@@ -6,21 +6,38 @@ plain left-to-right replacement. Of equally frequent pairs the smallest (left, r
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
+import zlib
+from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of all types up to which one task learns; beyond, each merge is a round of Spark jobs.
+ONE_TASK = 1 << 24
+
 
 def _store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quern-")
     at = f"{base.rstrip('/')}/bpe-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _forget(stored: DataFrame) -> None:
+    if files := stored.inputFiles():
+        path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def vocabulary(types: DataFrame) -> DataFrame:
     """(token, cnt) -> (token, cnt, sym)."""
     return types.select("token", "cnt", F.regexp_replace(F.hex(F.encode("token", "UTF-8")), "(..)", "<$1>").alias("sym"))
@@ -37,37 +54,145 @@ def best(counted: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("cnt"), "left", "right").limit(1)
 
 
-def merge(vocab: DataFrame, left: str, right: str) -> DataFrame:
-    joined = left[:-1] + right[1:]
-    return vocab.withColumn("sym", F.replace("sym", F.lit(left + right), F.lit(joined)))
+def merged(left: str, right: str) -> str:
+    return left[:-1] + right[1:]
 
 
-def learn(types: DataFrame, k: int = 6, dropout: float = 0.0, seed: int = 0) -> tuple[list[tuple], DataFrame]:
+def merge(vocab: DataFrame, left: str, right: str) -> DataFrame:
+    return vocab.withColumn("sym", F.replace("sym", F.lit(left + right), F.lit(merged(left, right))))
+
+
+def _passed(left: str, right: str, rank: int, dropout: float, seed: int) -> bool:
+    """Whether a pair is passed over in a step: a hash decides, the same wherever it is asked."""
+    return zlib.crc32(f"{seed}:{rank}:{left}{right}".encode()) % 65536 < dropout * 65536
+
+
+def _merge_list(s: list[str], left: str, right: str, new: str) -> list[str]:
+    out, i, n = [], 0, len(s)
+    while i < n:
+        if i + 1 < n and s[i] == left and s[i + 1] == right:
+            out.append(new)
+            i += 2
+        else:
+            out.append(s[i])
+            i += 1
+    return out
+
+
+def _steps(words: list[list[str]], counts: list[int], k: int, dropout: float, seed: int):
+    """The merges of some types, whose symbols it replaces; only types that hold a merged pair are counted anew."""
+    total: dict[tuple, int] = defaultdict(int)
+    where: dict[tuple, list[int]] = defaultdict(list)
+    for i, (s, n) in enumerate(zip(words, counts)):
+        for p in zip(s, s[1:]):
+            total[p] += n
+            where[p].append(i)
+    heap = [(-n, *p) for p, n in total.items()]
+    heapq.heapify(heap)
+    for rank in range(k):
+        aside, top = [], None
+        while heap:
+            n, left, right = heapq.heappop(heap)
+            if total.get((left, right), 0) != -n or not n:
+                continue  # an older count
+            if dropout and _passed(left, right, rank, dropout, seed):
+                aside.append((n, left, right))
+                continue
+            top = left, right
+            break
+        if top is None:
+            return
+        yield rank, *top, -n
+        new, change = merged(*top), defaultdict(int)
+        for i in dict.fromkeys(where.pop(top)):
+            s = _merge_list(words[i], *top, new)
+            if len(s) == len(words[i]):
+                continue
+            for p in zip(words[i], words[i][1:]):
+                change[p] -= counts[i]
+            for p in zip(s, s[1:]):
+                change[p] += counts[i]
+                if new in p:
+                    where[p].append(i)
+            words[i] = s
+        for p, n in change.items():
+            if n:
+                total[p] += n
+                if total[p]:
+                    heapq.heappush(heap, (-total[p], *p))
+        for x in aside:
+            if total[x[1:]] == -x[0]:
+                heapq.heappush(heap, x)
+
+
+LEARNT = "rank int, left string, right string, token string, cnt long, sym string"
+
+
+def _learn_here(k: int, dropout: float, seed: int):
+    def run(it):
+        tokens, counts, words = [], [], []
+        for df in it:
+            tokens += df.token.tolist()
+            counts += df.cnt.tolist()
+            words += [[f"<{b:02X}>" for b in t.encode()] for t in df.token]
+        steps = pd.DataFrame(list(_steps(words, counts, k, dropout, seed)), columns=["rank", "left", "right", "cnt"])
+        yield steps.assign(token=None, sym=None)[[c.split()[0] for c in LEARNT.split(", ")]]
+        for i in range(0, len(tokens), 10_000):
+            z = slice(i, i + 10_000)
+            yield pd.DataFrame({"rank": -1, "left": None, "right": None, "token": tokens[z], "cnt": counts[z], "sym": ["".join(s) for s in words[z]]})
+
+    return run
+
+
+def learn(types: DataFrame, k: int = 8000, dropout: float = 0.0, seed: int = 0, one_task: int = ONE_TASK) -> tuple[list[tuple], DataFrame]:
     """([(rank, left, right, cnt)], vocabulary after them): k merges, or fewer when no pair is left.
 
-    Pair counts are kept and only what a merge changes is counted anew: the pairs of the types that
-    hold it, before and after. dropout: the chance that a pair is passed over in a step.
+    Types of up to one_task bytes together are learnt from in one task, more by rounds of Spark jobs,
+    with the same result. Either way pair counts are kept and only what a merge changes is counted
+    anew. dropout: the share of pairs that is passed over in a step.
     """
+    types = _store(types.select("token", "cnt"))
+    if (types.agg(F.sum(F.octet_length("token"))).first()[0] or 0) <= one_task:
+        out = _store(types.repartition(1).mapInPandas(_learn_here(k, dropout, seed), LEARNT))
+        merges = [tuple(r) for r in out.filter("rank >= 0").orderBy("rank").select("rank", "left", "right", "cnt").collect()]
+        return merges, out.filter("rank < 0").select("token", "cnt", "sym")
     vocab = _store(vocabulary(types))
     counted, out = _store(pairs(vocab)), []
     for rank in range(k):
-        from_ = counted.filter(F.rand(seed + rank) >= dropout) if dropout else counted
-        top = best(from_).first()
+        chance = F.crc32(F.concat(F.lit(f"{seed}:{rank}:"), "left", "right").cast("binary")) % 65536
+        top = best(counted.filter(chance >= dropout * 65536) if dropout else counted).first()
         if top is None:
             break
         out.append((rank, top.left, top.right, top.cnt))
         hit = vocab.filter(F.col("sym").contains(top.left + top.right))
-        changed = merge(hit, top.left, top.right)
-        delta = pairs(changed).unionByName(pairs(hit).withColumn("cnt", -F.col("cnt")))
-        counted = _store(counted.unionByName(delta).groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"))
+        delta = pairs(merge(hit, top.left, top.right)).unionByName(pairs(hit).withColumn("cnt", -F.col("cnt")))
+        old, counted = counted, _store(counted.unionByName(delta).groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"))
+        _forget(old)
         vocab = merge(vocab, top.left, top.right)
         if rank % 8 == 7:
             vocab = _store(vocab)
     return out, vocab
 
 
-def encode(vocab: DataFrame, merges: list[tuple]) -> DataFrame:
-    """Applies ranked merges to (token, cnt, sym)."""
-    for _, left, right, _ in merges:
-        vocab = merge(vocab, left, right)
-    return vocab
+def _encode_here(merges: list[tuple]):
+    ranks = {(left, right): rank for rank, left, right, _ in merges}
+
+    def one(token: str) -> str:
+        s = [f"<{b:02X}>" for b in token.encode()]
+        while len(s) > 1:
+            left, right = min(zip(s, s[1:]), key=lambda p: ranks.get(p, len(ranks)))
+            if (left, right) not in ranks:
+                break
+            s = _merge_list(s, left, right, merged(left, right))
+        return "".join(s)
+
+    def run(it):
+        for df in it:
+            yield df.assign(sym=[one(t) for t in df.token])
+
+    return run
+
+
+def encode(types: DataFrame, merges: list[tuple]) -> DataFrame:
+    """(token, cnt) -> (token, cnt, sym): ranked merges applied; their number is the vocabulary's, whatever the corpus."""
+    return types.select("token", "cnt").mapInPandas(_encode_here(merges), "token string, cnt long, sym string")

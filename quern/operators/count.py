@@ -49,11 +49,12 @@ def spelled(ids: DataFrame) -> DataFrame:
 
 
 def lexicon(spark) -> DataFrame:
-    """(syll_id, text): every id that can be enumerated, at most 29,400."""
-    return spelled(spark.range(syllable.MAX_ID).select(F.col("id").alias("syll_id"))).filter(f"not ({syllable.INVALID})").select("syll_id", "text", "am_dau", "am_giua", "am_cuoi", "tone")
+    """(syll_id, text, parts): every spelling that an id enumerates and that can be a syllable, with the id of its normal form; 29,400 rows at most."""
+    every = spelled(spark.range(syllable.MAX_ID).select(F.col("id").alias("syll_id")))
+    normal = layers.apply(every, syllable.NORMAL).filter("sounds").select("text", F.col("n_dau").alias("am_dau"), F.col("n_giua").alias("am_giua"), F.col("n_cuoi").alias("am_cuoi"), "tone").distinct()
+    return layers.apply(normal, syllable.ENCODE).select("syll_id", "text", "am_dau", "am_giua", "am_cuoi", "tone")
 
 
 def mapped(docs: DataFrame) -> DataFrame:
-    """(token, cnt, syll_id): routing by the lexicon alone; it has 29,400 rows at most and is broadcast."""
-    lex = lexicon(docs.sparkSession).filter("octet_length(text) <= 9").groupBy("text").agg(F.min("syll_id").alias("syll_id"))
-    return alpha(docs).join(F.broadcast(lex), F.col("token") == F.col("text"), "left").select("token", "cnt", "syll_id")
+    """(token, cnt, syll_id): routing by the lexicon alone; it has 29,400 rows at most, one for each spelling, and is broadcast."""
+    return alpha(docs).join(F.broadcast(lexicon(docs.sparkSession).select("text", "syll_id")), F.col("token") == F.col("text"), "left").select("token", "cnt", "syll_id")
