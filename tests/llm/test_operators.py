@@ -2,8 +2,10 @@ import gzip
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -508,3 +510,71 @@ def test_main_text_after_a_tag_left_open(spark, tag):
     page = f"<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><{tag} class=x><article><h1>Heads</h1><p>The first paragraph says a good deal about it.</p><p>The second one says more, and more.</p></article><footer>&copy; 2020</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", page, 0)], "page_id long, url string, html string, text int")
     assert html.main_text(rows).first().text == "Heads\nThe first paragraph says a good deal about it.\nThe second one says more, and more."
+
+
+class Article(HTMLParser):
+    """Blocks of text in <article>, by the standard library's parser."""
+
+    INLINE = ("a", "b", "i", "em", "span", "strong")
+
+    def __init__(self, page):
+        super().__init__()
+        self.on, self.out, self.buf = False, [], []
+        self.feed(page)
+
+    def cut(self):
+        text, self.buf = " ".join("".join(self.buf).split()), []
+        if self.on and text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.buf.append(" ")
+        elif tag not in self.INLINE:
+            self.cut()
+            self.on |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+            self.on &= tag != "article"
+
+    def handle_data(self, data):
+        self.buf.append(data)
+
+
+def test_main_text_of_all_pages(spark):
+    """These pages keep their main text in <article>."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: "\n".join(Article(r.html or "").out) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert got == want and len(got) > 2000
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "<p>x", "<div>" * 50_000 + "</div>" * 50_000, "<p><button>" + "<div>" * 50_000 + "x", '<a "' * 100_000, "<!--" * 100_000, "<ul><li>x" * 20_000, "<svg>" * 30_000, "<" * 500_000], ids=range(9))
+def test_page_scanner_is_linear(page):
+    html.Page(page[:1000])
+    began = time.process_time()
+    html.Page(page)
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("names", ["kopfzeile artikel werbung kommentare", "a1 a2 a3 a4", "header article ad comments", "entete contenu publicite commentaires"])
+@pytest.mark.parametrize("n", [1, 4])
+def test_main_text_whatever_the_names(tag, names, n):
+    top, art, ad, com = names.split()
+    paras = [f"The {w} paragraph says a good deal about the matter at hand, and more." for w in ("first", "second", "third", "fourth")[:n]]
+    page = f'<html><body><{tag} class="{top}"><a href=/>Home</a> <a href=/n>News</a></{tag}><{tag} class="{art}"><h1>Big news of today</h1>{"".join(f"<p>{p}</p>" for p in paras)}<{tag} class="{ad}"><p>Kaufen Sie jetzt billig.</p></{tag}></{tag}><{tag} class="{com}"><p>I do not agree with that at all.</p></{tag}></body></html>'
+    assert html.extract(page, html.model()).split("\n") == ["Big news of today", *paras]
+
+
+def test_main_text_keeps_all_of_the_article():
+    read = lambda x: html.extract(x, html.model())
+    assert read("<html><body><article><h1>Title here</h1><p>One paragraph of text that is long enough.</p><p class='review'>This is a real paragraph with a class.</p><footer><p>Share this</p></footer></article></body></html>") == "Title here\nOne paragraph of text that is long enough.\nThis is a real paragraph with a class."
+    assert read("<html><body><nav><a href=/>x</a></nav><article><p>Before it <math><mi>x</mi><mo>=</mo><mn>1</mn></math> after.</p><noscript><p>Inside noscript text.</p></noscript><object><p>In object <object>nested</object> end.</p></object></article><footer>c</footer></body></html>") == "Before it x=1 after.\nInside noscript text.\nIn object\nnested\nend."
+    assert read("<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><footer>&copy; 2020 some firm</footer></body></html>") == ""
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
