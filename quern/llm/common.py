@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,15 @@ def forget(*stored: DataFrame) -> None:
             remove(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def open_file(path: str, mode: str):
+    """A file of the shared folder, from within a task; mode r or w."""
+    fs, at = pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+    if mode == "r":
+        return fs.open_input_stream(at)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(at)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Removes every stored table of this process; results that weren't written or collected can't be read afterwards."""
     while MADE:

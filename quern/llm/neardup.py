@@ -1,12 +1,18 @@
 """Near-duplicate embeddings by navigable small-world graphs (operator 8).
 
 Equal vectors are one class. Classes are dealt into shards by hash; each shard gets a hierarchical
-graph, built from the top layer down. Every class queries every shard, in blocks: the beam descends
-the layers and is doubled for each query until its worst member lies below the threshold, so that no
-count of partners is capped. In each task a sample of queries is also answered by brute force; while
-recall is under `recall`, the starting beam doubles, at last to the whole shard. Candidates' cosines
-are verified in double precision. A task sends on a count for each query and a spanning forest of its
-links, not the links; their union gives the components.
+graph, built from the top layer down and written as one file to the shared folder. Every class
+queries every shard: a task takes a block of queries and opens one shard's file after the other, so
+neither vectors nor graphs are shuffled. The beam descends the layers and is doubled for each query
+until its worst member lies below the threshold, so that no count of partners is capped; queries
+whose beam would pass `widest` are answered by a matrix product, which is exact. Candidates' cosines
+are verified in double precision.
+
+A sample of the queries (`audit` of them at least, by hash) is also answered by brute force over all
+shards. The share of its true links that the graphs found is the recall; while it is under `recall`,
+all is asked again with beams twice as wide. The last figure comes as the column audit_recall (null
+where the sample has no links). Blocks send on a count for each query and, for each shard, the
+groups that its links make, not the links; their union gives the components.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths don't link; each row is a vector, also one with a repeated or
@@ -16,14 +22,17 @@ ignored.
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, store, table
+from .common import components, forget, open_file, shared_dir, store, table
 
 LINKS, SPREAD = 16, 16
 
@@ -32,15 +41,16 @@ def beam(x: np.ndarray, q: np.ndarray, adj: np.ndarray, entry: np.ndarray, ef: i
     """ids and cosines (falling) of the ef best that each query finds from its entries; -1 and -inf fill up.
 
     All queries step together: each opens its best `grab` unopened members and merges their neighbours.
-    A member that fell out of the beam can't come back, as the beam's worst only rises.
+    Of equal cosines the smaller id is nearer, so a member that fell out of the beam can't come back, as the
+    beam's worst only rises; without an order of equals, vectors that lie close together would go in circles.
     """
     n = len(q)
     ids = np.full((n, ef), -1, np.int64)
-    sims = np.full((n, ef), -np.inf, np.float32)
+    sims = np.full((n, ef), -np.inf)
     opened = np.zeros((n, ef), bool)
     e = entry[:, :ef]
     ids[:, : e.shape[1]] = e
-    sims[:, : e.shape[1]] = np.where(e >= 0, np.einsum("qd,qkd->qk", q, x[np.maximum(e, 0)]), -np.inf)
+    sims[:, : e.shape[1]] = np.where(e >= 0, np.einsum("qd,qkd->qk", q, x[np.maximum(e, 0)]) - e * 1e-14, -np.inf)
     live = np.arange(n)
     while len(live):
         s = np.where(opened[live] | (ids[live] < 0), -np.inf, sims[live])
@@ -54,7 +64,7 @@ def beam(x: np.ndarray, q: np.ndarray, adj: np.ndarray, entry: np.ndarray, ef: i
         opened[live[:, None], pick] |= good
         from_ = np.where(good, ids[live[:, None], pick], -1)
         new = np.where(from_[:, :, None] >= 0, adj[np.maximum(from_, 0)], -1).reshape(len(live), -1)
-        sim = np.where(new >= 0, np.einsum("qd,qkd->qk", q[live], x[np.maximum(new, 0)]), -np.inf).astype(np.float32)
+        sim = np.where(new >= 0, np.einsum("qd,qkd->qk", q[live], x[np.maximum(new, 0)]) - new * 1e-14, -np.inf)
         all_ids = np.concatenate([ids[live], new], axis=1)
         all_sims = np.concatenate([sims[live], sim], axis=1)
         all_open = np.concatenate([opened[live], np.zeros(new.shape, bool)], axis=1)
@@ -162,22 +172,27 @@ class Graph:
                 out[full] = choose(self.x, cand[full], sims[full], 2 * LINKS)
             adj[at] = out
 
-    def above(self, q: np.ndarray, least: float, ef: int) -> list[np.ndarray]:
-        """For each query, candidates of cosine about `least` or more; the beam doubles until it reaches below."""
+    def above(self, q: np.ndarray, least: float, ef: int, widest: int = 400) -> list[np.ndarray]:
+        """For each query, candidates of cosine about `least` or more; the beam doubles until it reaches below, past `widest` all are compared."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         todo, n = np.arange(len(q)), len(self.x)
-        while len(todo):
-            ef = min(ef, n)
-            again = []
-            for i in range(0, len(todo), max(1, (1 << 17) // (ef + 128))):
-                part = todo[i : i + max(1, (1 << 17) // (ef + 128))]
+        while len(todo) and ef <= widest and ef < n:
+            again, step = [], max(1, (1 << 17) // (ef + 128))
+            for i in range(0, len(todo), step):
+                part = todo[i : i + step]
                 ids, sims = beam(self.x, q[part], self.layers[-1], self.entries(q[part]), ef)
                 for r, a, s in zip(part, ids, sims):
-                    if ef < n and s[-1] >= least:
+                    if s[-1] >= least:
                         again.append(r)
                     else:
                         out[r] = a[s >= least]
             todo, ef = np.array(again, np.int64), ef * 2
+        step = max(1, (1 << 22) // max(n, 1))
+        for i in range(0, len(todo), step):
+            part = todo[i : i + step]
+            hit, at = np.nonzero(q[part] @ self.x.T >= least)
+            for r, a in zip(part, np.split(at, np.searchsorted(hit, np.arange(1, len(part))))):
+                out[r] = a
         return out
 
 
@@ -187,90 +202,148 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _build(df: pd.DataFrame) -> pd.DataFrame:
-    df = df.sort_values("h")
-    raw = np.stack(df.embedding.to_numpy()).astype(np.float64)
-    g = Graph(_unit(raw).astype(np.float32))
-    blob = [a.astype(np.int32).tobytes() for a in g.layers]
-    return pd.DataFrame({"dim": df.dim.iloc[:1], "shard": df.shard.iloc[:1], "ids": [df.rep.to_numpy(np.int64).tobytes()], "copies": [df.copies.to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "layers": [blob]})
-
-
-def _ask(least: float, recall: float, audit: int, ef: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        if not len(queries) or not len(index):
-            return empty
-        r = index.iloc[0]
-        ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
-        raw = _unit(np.frombuffer(r["raw"], np.float64).reshape(len(ids), -1))
-        g = Graph(raw.astype(np.float32), [np.frombuffer(b, np.int32).reshape(-1, 2 * LINKS).astype(np.int64) for b in r["layers"]])
-        who = queries.rep.to_numpy(np.int64)
-        exact = _unit(np.stack(queries.embedding.to_numpy()).astype(np.float64))
-        q, slack, wide = exact.astype(np.float32), least - 1e-3, ef
-        sample = np.arange(0, len(q), max(1, len(q) // audit))
-        truth = [np.flatnonzero(row >= least) for row in exact[sample] @ raw.T]
-        while True:  # the audit
-            got = g.above(q[sample], slack, wide)
-            found, there = sum(len(np.intersect1d(a, b)) for a, b in zip(got, truth)), sum(map(len, truth))
-            if found >= recall * there or wide >= len(ids):
-                break
-            wide *= 2
-        hits = g.above(q, slack, wide)
-        size = np.array([len(h) for h in hits])
-        a, b = np.repeat(np.arange(len(q)), size), np.concatenate(hits) if len(hits) else np.zeros(0, np.int64)
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 1 << 18):
-            s = slice(i, i + (1 << 18))
-            ok[s] = (exact[a[s]] * raw[b[s]]).sum(axis=1) >= least
-        ok &= who[a] != ids[b]
-        a, b = a[ok], b[ok]
-        n = np.bincount(a, copies[b], len(q)).astype(np.int64)
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for u, v in zip(who[a].tolist(), ids[b].tolist()):
-            u, v = find(u), find(v)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-        nodes = list(root)
-        out = pd.DataFrame({"node": who, "n": n, "root": who})
-        return pd.concat([out, pd.DataFrame({"node": nodes, "n": 0, "root": [find(v) for v in nodes]}, dtype="int64")])
+def groups(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest node that links reach, for each of n nodes, by hooking and pointer jumping; label: groups so far."""
+    label = np.arange(n) if label is None else label
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+SHARD = "dim int, shard int, path string, rows long"
+
+
+def _build(folder: str):
+    """Writes a shard's unit vectors, ids, copies and graph; the name carries the attempt."""
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("h")
+        raw = _unit(np.stack(df.embedding.to_numpy()).astype(np.float64))
+        g, path = Graph(raw.astype(np.float32)), f"{folder}/{uuid.uuid4().hex}.npy"
+        with open_file(path, "w") as f:
+            for x in (raw, df.rep.to_numpy(np.int64), df.copies.to_numpy(np.int64), *(layer.astype(np.int32) for layer in g.layers)):
+                buf = io.BytesIO()
+                np.save(buf, x)
+                f.write(buf.getvalue())
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "path": [path], "rows": [len(df)]})
 
     return run
 
 
-def link(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, shard_rows: int = 100_000, block_rows: int = 16_384, shards: int = 4, audit: int = 64, ef: int = 48) -> DataFrame:
-    """vectors (vec_id, embedding) -> (vec_id, n_links, component_id) for every row."""
+def _load(path: str):
+    with open_file(path, "r") as f:
+        buf = io.BytesIO(f.read())
+    size, parts = buf.getbuffer().nbytes, []
+    while buf.tell() < size:
+        parts.append(np.load(buf))
+    raw, ids, copies, *layers = parts
+    return Graph(raw.astype(np.float32), [x.astype(np.int64) for x in layers]), raw, ids, copies
+
+
+TOLD = "kind int, node long, n long, root long"
+
+
+def _ask(shards: list[tuple[int, str]], least: float, ef: int, one_in: int, block: int, asked: int = 1 << 14):
+    """Of each block of queries: (0, node, links, node) for each, (1, node, 0, root) for groups, (2, 0, found, there) for the audit."""
+    def answer(rep: np.ndarray, vectors: np.ndarray, h: np.ndarray):
+        exact = _unit(vectors)
+        q, slack, total = exact.astype(np.float32), least - 1e-3, np.zeros(len(rep), np.int64)
+        sample = np.flatnonzero(h % np.uint64(one_in) == 0)
+        found = there = 0
+        for dim, path in shards:
+            if dim != vectors.shape[1]:
+                continue
+            g, raw, ids, copies = _load(path)
+            label = np.arange(len(rep) + len(ids))
+            seen = np.zeros(len(rep), np.int64)
+            for i in range(0, len(rep), asked):
+                hits = g.above(q[i : i + asked], slack, ef)
+                size = np.array([len(x) for x in hits])
+                ends, k = np.cumsum(size), 0
+                while k < len(hits):  # links are taken up in stretches, then dropped
+                    z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 18), "right")))
+                    a, b = np.repeat(np.arange(i + k, i + z), size[k:z]), np.concatenate(hits[k:z])
+                    ok = np.einsum("pd,pd->p", exact[a], raw[b]) >= least
+                    ok &= rep[a] != ids[b]
+                    a, b = a[ok], b[ok]
+                    total += np.bincount(a, copies[b], len(rep)).astype(np.int64)
+                    seen += np.bincount(a, minlength=len(rep))
+                    label = groups(len(label), a, len(rep) + b, label)
+                    k = z
+            for i in range(0, len(sample), 256):
+                z = sample[i : i + 256]
+                true = (exact[z] @ raw.T >= least) & (rep[z][:, None] != ids[None, :])
+                there, found = there + int(true.sum()), found + int(np.minimum(seen[z], true.sum(axis=1)).sum())
+            names = np.concatenate([rep, ids])
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            yield 1, names[joined], np.zeros(len(joined), np.int64), names[label[joined]]
+        yield 0, rep, total, rep
+        yield 2, np.zeros(1, np.int64), np.array([found]), np.array([there])
+
+    def run(it):
+        held: dict[int, list] = {}
+
+        def flush(dim):
+            rows = held.pop(dim)
+            for kind, *columns in answer(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *map(pa.array, columns)], names=["kind", "node", "n", "root"])
+
+        for b in it:
+            dims, flat = b.column(2).to_numpy(), b.column(1)
+            for dim in np.unique(dims).tolist():
+                z = np.flatnonzero(dims == dim)
+                vectors = flat.take(pa.array(z)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                held.setdefault(dim, []).append((b.column(0).to_numpy()[z], vectors, b.column(3).to_numpy()[z].view(np.uint64)))
+                if sum(len(r[0]) for r in held[dim]) >= max(1, block // dim):
+                    yield from flush(dim)
+        for dim in list(held):
+            yield from flush(dim)
+
+    return run
+
+
+def link(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, shard_bytes: int = 1 << 26, block: int = 1 << 23, audit: int = 4096, ef: int = 48, tasks: int = 24) -> DataFrame:
+    """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, audit_recall) for every row. shard_bytes bounds a shard's vectors, block the numbers of a block of queries."""
+    spark = vectors.sparkSession
     good = F.expr("coalesce(size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0), false)")
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), good.alias("good"))
     v = v.withColumn("cls", F.when(F.col("good"), F.sha2(F.to_binary(F.array_join(F.transform("embedding", lambda x: F.lower(F.hex(F.xxhash64(x)))), ""), F.lit("hex")), 256)))
     classes = v.filter("good").groupBy("cls").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = store(classes.select("cls", "low", "copies", "embedding", F.size("embedding").alias("dim"), F.xxhash64("cls").alias("rep")))
-    n = classes.count()
-    shards, blocks = max(shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / block_rows))
-    base = classes.withColumn("h", F.xxhash64("rep")).withColumn("shard", F.expr(f"cast(pmod(h, {shards}) as int)"))
-    index = store(base.select("dim", "shard", "h", "rep", "copies", "embedding").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, ids binary, copies binary, raw binary, layers array<binary>"))
-    asked = base.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(rep, 5), {blocks}) as int)").alias("block"), "rep", "embedding")
-    given = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
-    told = store(asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(_ask(least, recall, audit, ef), "node long, n long, root long"))
-    counts = told.groupBy("node").agg(F.sum("n").alias("n"))
-    comp = components(told.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    c = classes.select("cls", "low", "copies", "rep").join(counts.withColumnRenamed("node", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep").withColumnRenamed("root", "top"), "rep", "left")
-    c = store(c.select("cls", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "rep").alias("top")))
+    # a class's number is its place in this table, so no two have the same
+    classes = store(classes.select("cls", "low", "copies", "embedding", F.size("embedding").alias("dim"), F.xxhash64("cls").alias("h"), F.monotonically_increasing_id().alias("rep")))
+    sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    n = sum(sizes.values())
+    each = F.create_map(*(F.lit(x) for d, k in sizes.items() for x in (d, max(4, math.ceil(k * d * 8 / shard_bytes))))) if sizes else F.lit(None).cast("map<int,int>")
+    dealt = classes.select("dim", F.pmod("h", F.element_at(each, F.col("dim"))).cast("int").alias("shard"), "h", "rep", "copies", "embedding")
+    index = store(dealt.groupBy("dim", "shard").applyInPandas(_build(shared_dir(spark)), SHARD))
+    shards = [(r.dim, r.path) for r in index.orderBy("dim", "shard").collect()]
+    queries = classes.select("rep", "embedding", "dim", "h").repartition(max(tasks, math.ceil(sum(d * k for d, k in sizes.items()) / block)), "rep")
+    while True:
+        told = store(queries.mapInArrow(_ask(shards, least, ef, max(1, n // audit), block), TOLD))
+        found, there = told.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("root"), F.lit(0))).first()
+        if found >= recall * there or ef > n:
+            break
+        forget(told)
+        ef *= 2
+    counts = told.filter("kind = 0").select("node", "n")
+    comp = components(told.filter("kind = 1").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    c = classes.select("cls", "low", "copies", "rep").join(counts.withColumnRenamed("node", "rep").hint("merge"), "rep").join(comp.withColumnRenamed("node", "rep").withColumnRenamed("root", "top").hint("merge"), "rep", "left")
+    c = store(c.select("cls", "low", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "rep").alias("top")))
     lows = c.groupBy("top").agg(F.min("low").alias("component_id"))
-    c = c.join(lows, "top").select("cls", "n_links", "component_id")
-    out = v.select("vec_id", "cls").join(c, "cls", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    c = c.join(lows.hint("merge"), "top").select("cls", "n_links", "component_id")
+    out = v.select("vec_id", "cls").join(c.hint("merge"), "cls", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.lit(found / there if there else None).cast("double").alias("audit_recall"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = link(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall")
 
 
 SQL = None  # all pairs by cosine: tested against brute force instead

@@ -19,18 +19,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, store, table
+from .common import open_file, shared_dir, store, table
 
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -131,14 +129,6 @@ def parse(member: bytes) -> dict:
     }
 
 
-def _open(path: str, mode: str):
-    fs, at = pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
-    if mode == "r":
-        return fs.open_input_stream(at)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(at)
-
-
 def _writer(folder: str, most: int):
     def run(it):
         out, path, n, size = None, "", 0, 0
@@ -148,7 +138,7 @@ def _writer(folder: str, most: int):
                 page_id, url, html, refers, revisit = r
                 if out is None:
                     path, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = _open(path, "w")
+                    out = open_file(path, "w")
                 z = record(page_id, url or "", (html or "").encode("utf-8", "surrogatepass"), refers, revisit)
                 out.write(z)
                 n, size = n + 1, size + len(z)
@@ -194,7 +184,7 @@ def _read(it):
     for b in it:
         for path, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             rows, held, n = [], 0, 0
-            with _open(path, "r") as f:
+            with open_file(path, "r") as f:
                 for m in members(f):
                     rows.append(parse(m))
                     held, n = held + len(m), n + 1

@@ -461,12 +461,26 @@ def test_embeddings(spark):
     x[50:90] = x[0] + 0.05 * r.normal(size=(40, 16))
     x[100:110] = x[99]
     rows = [(i, [float(v) for v in row], 1) for i, row in enumerate(np.float32(x))] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0, 2.0], 1), (905, [], 1)]
-    got = {a.vec_id: a for a in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    rows += [(None, [3.0, 1.0], 1), (904, [2.0, 4.0], 1), (907, [1.0] * 5000, 1), (907, [1.0] * 5000, 1)]
+    got = {a.vec_id: a for a in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep int")).collect()}
     u = np.float32(x).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     assert [got[i].n_links for i in range(300)] == (near.sum(axis=1) - 1).tolist()
-    assert all(got[i].component_id == 99 for i in range(99, 110)) and all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906))
+    assert all(got[i].component_id == 99 for i in range(99, 110)) and all(got[i].n_links == 0 and got[i].component_id == i for i in (900, 901, 902, 903, 905))
+    assert got[904].n_links == got[907].n_links == 1 and got[None].n_links == 0 and got[0].audit_recall == 1
+    assert neardup.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embedding_groups():
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 200, 150), r.integers(0, 200, 150)
+    low = list(range(200))
+    for _ in range(200):
+        for i, j in zip(a, b):
+            low[i] = low[j] = min(low[i], low[j])
+    label = neardup.groups(200, a[:80], b[:80])
+    assert neardup.groups(200, a, b).tolist() == low == neardup.groups(200, a[80:], b[80:], label).tolist()
 
 
 def test_graph_recall():
@@ -478,6 +492,14 @@ def test_graph_recall():
     assert sum(len(t & set(f)) for t, f in zip(truth, found)) >= 0.95 * sum(map(len, truth))
 
 
+def test_graph_of_one_dense_cluster():
+    x = np.random.default_rng(8).normal(size=(1, 16)) + 0.01 * np.random.default_rng(9).normal(size=(4000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g = neardup.Graph(x)
+    began = time.process_time()
+    assert all(len(f) == 4000 for f in g.above(x[:64], 0.95, 48)) and time.process_time() - began < 5
+
+
 def test_warc(spark):
     same = "<p>é</p>" * 300
     rows = [(1, "http://a/", same, 0), (2, "http://b/", same, 0), (3, None, None, 0), (4, "u", "short", 0), (5, "u", "short", 0), (None, "u", "x" * 200_000, 0)]
