@@ -97,16 +97,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for each node and a join back, so that no neighbour list is ever gathered. A round's
     result is written to the shared folder. Nodes without an edge don't appear.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    e = store(e)
+    e = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = store(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        # minima are stored, so that both sides of a join are exchanges, which Spark splits where a node has many links
+        low = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = store(both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least.hint("merge"), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, e = e, store(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        forget(old, low, large, least)
         seen = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before:
             break

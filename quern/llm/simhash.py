@@ -92,7 +92,8 @@ def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> D
     comp = store(components(links(nodes.select("fp"), small)))
     # fingerprints that link with no other are their own root
     roots = nodes.join(comp.hint("merge"), nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = roots.groupBy("root").agg(F.min("low").alias("first"))
+    roots = store(roots)
+    low = store(roots.groupBy("root").agg(F.min("low").alias("first")))
     final = roots.join(low.hint("merge"), "root").select("fp", "first")
     return prints.join(final.hint("merge"), "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
 
