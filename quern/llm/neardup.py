@@ -308,7 +308,7 @@ def _ask(shards: list[tuple[int, str]], least: float, ef: int, one_in: int, bloc
     return run
 
 
-def link(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, shard_bytes: int = 1 << 26, block: int = 1 << 23, audit: int = 4096, ef: int = 48, tasks: int = 24) -> DataFrame:
+def link(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, shard_bytes: int = 1 << 26, block: int = 1 << 23, audit: int = 4096, ef: int = 24, tasks: int = 24) -> DataFrame:
     """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, audit_recall) for every row. shard_bytes bounds a shard's vectors, block the numbers of a block of queries."""
     spark = vectors.sparkSession
     good = F.expr("coalesce(size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0), false)")
