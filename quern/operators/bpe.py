@@ -157,23 +157,48 @@ def learn(types: DataFrame, k: int = 8000, dropout: float = 0.0, seed: int = 0,
         merges = [tuple(r) for r in out.filter("rank >= 0").orderBy("rank").select("rank", "left", "right", "cnt").collect()]
         return merges, out.filter("rank < 0").select("token", "cnt", "sym")
     vocab = _store(vocabulary(types))
-    counted, out = _store(pairs(vocab)), []
-    for rank in range(k):
+    counted, out, since = _store(pairs(vocab)), [], 0
+    while len(out) < k:
+        rank = len(out)
         chance = F.crc32(F.concat(F.lit(f"{seed}:{rank}:"), "left", "right").cast("binary")) % 65536
-        top = best(counted.filter(chance >= dropout * 65536) if dropout else counted).first()
-        if top is None:
+        most = 1 if dropout else min(TOGETHER, k - rank)
+        seen = (counted.filter(chance >= dropout * 65536) if dropout else counted).orderBy(F.desc("cnt"), "left", "right").limit(most + 1).collect()
+        step = together([tuple(r) for r in seen], most)
+        if not step:
             break
-        out.append((rank, top.left, top.right, top.cnt))
-        hit = vocab.filter(F.col("sym").contains(top.left + top.right))
-        delta = pairs(merge(hit, top.left, top.right)).unionByName(pairs(hit).withColumn("cnt", -F.col("cnt")))
+        out += [(rank + i, *x) for i, x in enumerate(step)]
+        hit = vocab.filter(" OR ".join(f"contains(sym, '{left}{right}')" for left, right, _ in step))
+        after, rest = hit, vocab
+        for left, right, _ in step:
+            after, rest = merge(after, left, right), merge(rest, left, right)
+        delta = pairs(after).unionByName(pairs(hit).withColumn("cnt", -F.col("cnt")))
         old, counted = counted, _store(counted.unionByName(delta).groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"))
         _forget(old)
-        vocab = merge(vocab, top.left, top.right)
-        if rank % 8 == 7:
-            vocab = _store(vocab)
+        vocab, since = rest, since + len(step)
+        if since >= 8:
+            vocab, since = _store(vocab), 0
     return out, vocab
 
 
+#: Merges of one round of jobs at most.
+TOGETHER = 32
+
+
+def together(top: list[tuple], most: int) -> list[tuple]:
+    """Of the most frequent pairs, in order, those that come next one after the other whatever the ones before them change.
+
+    A merge changes the counts of pairs that share a symbol with it, and a pair that it makes is no more
+    frequent than one of those. So pairs without a symbol in common follow one another as long as they are more
+    frequent than the first that shares one; a pair of twice the same symbol stands alone.
+    """
+    used: set[str] = set()
+    for i, (left, right, n) in enumerate(top):
+        if left in used or right in used or left == right:
+            return top[: max(1, next(j for j in range(i + 1) if j == i or top[j][2] <= n))][:most]
+        used |= {left, right}
+    return top[:most] if len(top) <= most else top[: max(1, next((j for j in range(most) if top[j][2] <= top[most][2]), most))]
+
+
 def _encode_here(merges: list[tuple]):
     ranks = {(left, right): rank for rank, left, right, _ in merges}
 
