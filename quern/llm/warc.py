@@ -4,7 +4,8 @@ The writer puts one gzip member per record into .warc.gz files of bounded size i
 and returns a manifest of them. The reader streams each file: it inflates member after member
 through incremental zlib decompression, frames records by Content-Length and verifies block and
 payload digests; a record that doesn't hold raises. File names carry the writing attempt, and only
-files of the stored manifest are read, so that tasks may be run again or twice.
+files of the stored manifest are read, so that tasks may be run again or twice. What was read is checked as a
+whole too: each revisit's digest must be that of the response it refers to.
 
 Of records with equal payloads of `least` bytes or more, that with the largest id is written as a
 response, the others as revisits that refer to it.
@@ -206,8 +207,19 @@ def read_bytes(data: bytes) -> list[dict]:
     return [parse(m) for m in members(io.BytesIO(data))]
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The records, stored, once every revisit was found to have the digest of the response it refers to."""
+    records = store(records)
+    revisits = records.filter("record_type = 'revisit'").select("refers_to", F.col("payload_digest").alias("digest"))
+    responses = records.filter("record_type = 'response'").select("page_id", "payload_digest")
+    lost = revisits.join(responses.hint("merge"), (F.col("refers_to") == F.col("page_id")) & (F.col("digest") == F.col("payload_digest")), "left_anti").count()
+    if lost:
+        raise WarcError(f"{lost} revisits without a response of their digest")
+    return records
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read(write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 SQL = """

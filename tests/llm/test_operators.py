@@ -507,6 +507,12 @@ def test_warc(spark):
     assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == "response" and got[2].payload.decode() == same
     assert got[1].payload_bytes == got[2].payload_bytes == len(same.encode()) and got[1].payload_digest == got[2].payload_digest
     assert got[3].payload_bytes == 0 and got[4].record_type == got[5].record_type == "response" and got[None].payload_bytes == 200_000
+    ok = [(1, "revisit", "aa", 2), (2, "response", "aa", None), (2, "response", "bb", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, record_type string, payload_digest string, refers_to long")
+    assert warc.checked(frame(ok)).count() == 3
+    for bad in ((1, "revisit", "cc", 2), (1, "revisit", "aa", 5), (1, "revisit", "aa", None)):
+        with pytest.raises(warc.WarcError):
+            warc.checked(frame([bad, *ok]))
     data = warc.record(7, "u", b"body")
     broken = gzip.compress(gzip.decompress(data).replace(b"body", b"bodi"))
     assert warc.read_bytes(data + data)[1]["page_id"] == 7
