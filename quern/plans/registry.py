@@ -236,7 +236,7 @@ _table = {
     "many_files": (many_files, COUNT.format(f"{SPLIT} UNION ALL SELECT unnest(regexp_extract_all(text, '{ALPHA}')) AS token FROM conversations")),
     "scanner_lines": (scanned, SCANNED),
     "syllable_cases": (cases, CASES_SQL),
-    "lexicon_sizes": (lambda s, d: count.lexicon(s).agg(F.count("*").alias("spellings"), F.countDistinct("syll_id").alias("syllables"), F.count_if(F.octet_length("text") == 9).alias("nine_bytes")), "SELECT 27154 AS spellings, 27112 AS syllables, 50 AS nine_bytes"),
+    "lexicon_sizes": (lambda s, d: count.lexicon(s).agg(F.count("*").alias("spellings"), F.countDistinct("syll_id").alias("syllables"), F.count_if(F.octet_length("text") == 9).alias("nine_bytes")), "SELECT CAST(27154 AS BIGINT) AS spellings, CAST(27112 AS BIGINT) AS syllables, CAST(50 AS BIGINT) AS nine_bytes"),
     "corpus_shuffled": (lambda s, d: shuffled(documents(s, d)), "SELECT translate(text, chr(10), ' ') AS text FROM documents"),
     "flagship": (flagship, f"SELECT syll_id, token, cnt FROM (SELECT syll_id, CASE WHEN syll_id IS NULL THEN token END AS token, CAST(sum(cnt) AS BIGINT) AS cnt FROM {PARSED} WHERE can_be_vietnamese OR strlen(token) <= 32 GROUP BY 1, 2) ORDER BY cnt DESC, syll_id NULLS FIRST, token LIMIT 300"),
 }
