@@ -75,3 +75,18 @@ def dedup(docs: DataFrame, least: int = 160, most: int = 8, blank: int = 40, los
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("lines_removed"))
+
+
+#: For documents whose ids differ; the order of texts of one id is a hash's.
+SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(len(l))) AS s FROM d),
+k AS (SELECT *, list_max(list_filter(range(1, 9), lambda k: s + k <= len(l) AND coalesce(list_sum(list_transform(l[s + 1:s + k - 1], lambda x: strlen(x))), 0) < 160)) AS k FROM s),
+n AS (SELECT *, list_sum(list_transform(l[s + 1:s + k], lambda x: strlen(x))) AS n FROM k),
+c AS (SELECT doc_id, s, k, row_number() OVER (PARTITION BY array_to_string(l[s + 1:s + k], chr(10)) ORDER BY doc_id NULLS FIRST, s) AS r FROM n WHERE n >= 160 OR k = 8 AND n >= 40),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS i FROM c WHERE r > 1),
+stay AS (SELECT s.doc_id, string_agg(l[s + 1], chr(10) ORDER BY s) AS text, count(*) AS n FROM s
+         WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id IS NOT DISTINCT FROM s.doc_id AND gone.i = s.s) GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(stay.text, '') END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.l) - coalesce(stay.n, 0) END AS lines_removed
+FROM d LEFT JOIN stay ON d.doc_id IS NOT DISTINCT FROM stay.doc_id
+"""

@@ -346,4 +346,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall")
 
 
-SQL = None  # all pairs by cosine: tested against brute force instead
+#: All pairs; the audit must have found every link.
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT k, vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM good AS a JOIN good AS b ON len(a.e) = len(b.e) WHERE a.k <> b.k AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(vec_id) AS low FROM reach JOIN v ON v.k = reach.b GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+o AS (SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(vec_id, low.low), vec_id) AS component_id FROM v LEFT JOIN low ON low.a = v.k LEFT JOIN n ON n.a = v.k)
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept, CASE WHEN (SELECT count(*) FROM link) > 0 THEN 1.0::DOUBLE END AS audit_recall FROM o
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_warc": warc.query,
 }
-SQL = {"op3_mixing": mixing.SQL, "op10_warc": warc.SQL}
+SQL = {"op3_mixing": mixing.SQL, "op6_line_dedup": linededup.SQL, "op8_embedding_neardup": neardup.SQL, "op10_warc": warc.SQL}
