@@ -45,9 +45,10 @@ def vocabulary(types: DataFrame) -> DataFrame:
 
 def pairs(vocab: DataFrame) -> DataFrame:
     """(left, right, cnt): neighbours in each type, weighted by its count; overlapping ones all count."""
-    s = vocab.select("cnt", F.regexp_extract_all("sym", F.lit("<[0-9A-F]+>"), F.lit(0)).alias("s")).filter("size(s) > 1")
-    p = s.select("cnt", F.explode(F.expr("transform(sequence(0, size(s) - 2), i -> struct(s[i] as l, s[i + 1] as r))")).alias("p"))
-    return p.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("cnt").alias("cnt"))
+    s = vocab.select("cnt", F.split("sym", "<").alias("s")).filter("size(s) > 2")  # the first piece is empty, the others end with >
+    p = s.select("cnt", F.explode(F.expr("transform(sequence(1, size(s) - 2), i -> struct(s[i] as l, s[i + 1] as r))")).alias("p"))
+    p = p.groupBy("p.l", "p.r").agg(F.sum("cnt").alias("cnt"))
+    return p.select(F.concat(F.lit("<"), "l").alias("left"), F.concat(F.lit("<"), "r").alias("right"), "cnt")
 
 
 def best(counted: DataFrame) -> DataFrame:
