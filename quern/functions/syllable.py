@@ -52,6 +52,7 @@ def letters(col: str) -> dict[str, str]:
     return {"base": f"translate({col}, '{FROM}', '{BASE}')", "tones": f"translate({col}, '{FROM}', '{TONE}')"}
 
 
+# fixed values: how initials are written
 DIGRAPHS = {x: "q" if x == "qu" else x for x in "ch gh gi kh ng nh ph qu th tr".split()}
 SINGLES = {x: "c" if x == "k" else x for x in "bcdghklmnprstvx"}
 VOWEL = _in(*VOWELS)
@@ -137,6 +138,7 @@ SPELL = [
     {"marked": "CASE WHEN mark_at = 0 THEN body ELSE concat(substr(body, 1, mark_at - 1), CASE tone " + " ".join(f"WHEN '{t}' THEN translate(bare, '{''.join(VOWELS)}', '{TONED[12 * i:12 * i + 12]}')" for i, t in enumerate(MARKS)) + " ELSE bare END, substr(body, mark_at + 1)) END"},
     {"text": "concat(head, marked, CASE WHEN am_cuoi = '_none' THEN '' ELSE am_cuoi END)"},
 ]
+# the part lists below are fixed values too
 FEATURES = {
     "len_dau": f"CASE WHEN am_dau = '_none' THEN 0 WHEN am_dau IN {_in('ch', 'gi', 'kh', 'ng', 'nh', 'ph', 'th', 'tr', 'zd')} THEN 2 ELSE 1 END",
     "len_giua": f"CASE WHEN am_giua IN {_in('a', 'e', 'i', 'o', 'u', 'y', 'az', 'aw', 'ez', 'oz', 'ow', 'uw')} THEN 1 WHEN am_giua = 'uyez' THEN 3 ELSE 2 END",
