@@ -7,6 +7,7 @@ plain left-to-right replacement. Of equally frequent pairs the smallest (left, r
 from __future__ import annotations
 
 import heapq
+import re
 import tempfile
 import uuid
 import zlib
@@ -24,7 +25,7 @@ def _store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
     at = f"{base.rstrip('/')}/bpe-{uuid.uuid4().hex}"
