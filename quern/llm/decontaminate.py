@@ -127,7 +127,15 @@ def _rows(keep):
                     vals += [values[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array((np.concatenate(hs) if hs else np.zeros(0, np.uint64)).view(np.int64)), cat(plains, np.int32), pa.array(vals, pa.list_(pa.string())), pa.array(own, pa.int64())],
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(kinds, pa.int32()),
+                    pa.array(at, pa.int32()),
+                    pa.array((np.concatenate(hs) if hs else np.zeros(0, np.uint64)).view(np.int64)),
+                    cat(plains, np.int32),
+                    pa.array(vals, pa.list_(pa.string())),
+                    pa.array(own, pa.int64()),
+                ],
                 names=["id", "kind", "at", "h", "plain", "v", "own"],
             )
 
@@ -143,15 +151,17 @@ def held(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), F.col("item_id").cast("long").alias("own")).mapInArrow(_rows(None), ROW).drop("own")
     items = store(items)
     most = items.groupBy("id", "kind").agg(F.max("plain").alias("most"), (F.max("at") + WORDS).alias("wide"))
-    items = items.join(most.withColumnsRenamed({"id": "i2", "kind": "k2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("kind") == F.col("k2"))).filter("plain >= least(3, most)").select(F.col("id").alias("item_id"), "kind", F.col("at").alias("ia"), "wide", "h", F.col("v").alias("iv"))
+    items = items.join(most.withColumnsRenamed({"id": "i2", "kind": "k2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("kind") == F.col("k2")))
+    items = items.filter("plain >= least(3, most)").select(F.col("id").alias("item_id"), "kind", F.col("at").alias("ia"), "wide", "h", F.col("v").alias("iv"))
     items = store(items.distinct())
     cells = np.fromiter((r.c for r in items.select(F.shiftrightunsigned("h", 64 - BITS).alias("c")).distinct().toLocalIterator()), np.int64)  # 2 ** BITS at most
     bits = np.zeros(1 << BITS, np.uint8)
     bits[cells] = 1
     # a row key tells documents apart
     rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = docs.select(rid.alias("rid"), F.col("text").cast("string"), F.col("doc_id").cast("long").alias("own")).mapInArrow(_rows(np.packbits(bits).tobytes()), ROW).select(F.col("id").alias("doc_id"), F.col("at").alias("da"), "h", F.col("v").alias("dv"), "own").distinct()
-    found = store(found)
+    found = docs.select(rid.alias("rid"), F.col("text").cast("string"), F.col("doc_id").cast("long").alias("own"))
+    found = found.mapInArrow(_rows(np.packbits(bits).tobytes()), ROW)
+    found = store(found.select(F.col("id").alias("doc_id"), F.col("at").alias("da"), "h", F.col("v").alias("dv"), "own").distinct())
     windows_ = items.select("item_id", "kind", "h").distinct()
     rare = windows_.join(windows_.groupBy("h").agg(F.count("*").alias("df")), "h")
     mine = Window.partitionBy("item_id", "kind")
@@ -165,12 +175,14 @@ def held(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
     pair = pair.select(F.col("doc_id").alias("d3"), F.col("item_id").alias("i3"), F.col("kind").alias("k3"), "size")
     hits = hits.join(pair, F.col("doc_id").eqNullSafe(F.col("d3")) & F.col("item_id").eqNullSafe(F.col("i3")) & (F.col("kind") == F.col("k3")))
     shift = hits.withColumn("off", F.col("da") - F.col("ia"))
-    shift = shift.withColumn("band", F.explode(F.expr("array(struct(0 as way, 0L as no), struct(1 as way, cast(floor(off / wide) as long) as no), struct(2 as way, cast(floor((off + wide / 2) / wide) as long) as no))")))
+    ways = ["struct(0 as way, 0L as no)", "struct(1 as way, cast(floor(off / wide) as long) as no)", "struct(2 as way, cast(floor((off + wide / 2) / wide) as long) as no)"]
+    shift = shift.withColumn("band", F.explode(F.expr(f"array({', '.join(ways)})")))
     one = ["doc_id", "item_id", "kind", "band"]
     usual = shift.withColumn("times", F.count("*").over(Window.partitionBy(*one, "off"))).withColumn("mode", F.max(F.struct("times", (-F.col("off")).alias("turned"))).over(Window.partitionBy(*one)))
     # of each item position the hit nearest the most frequent shift, which mode has with its sign turned
-    near = usual.groupBy(*one, "ia", "size").agg(F.min(F.struct(F.abs(F.col("off") + F.col("mode")["turned"]).alias("far"), "da", "h", "iv", "dv")).alias("x")).select(*one, "ia", "size", "x.h", "x.iv", "x.dv")
-    near = store(near)
+    far = F.abs(F.col("off") + F.col("mode")["turned"]).alias("far")
+    near = usual.groupBy(*one, "ia", "size").agg(F.min(F.struct(far, "da", "h", "iv", "dv")).alias("x"))
+    near = store(near.select(*one, "ia", "size", "x.h", "x.iv", "x.dv"))
     got = near.groupBy(*one, "size").agg((F.countDistinct("h") / F.col("size")).alias("coverage")).filter(F.col("coverage") >= least).drop("size")
     slots = near.filter("size(iv) > 0 and size(iv) = size(dv)").select(*one, F.explode(F.arrays_zip("iv", "dv")).alias("p")).groupBy(*one, "p.iv", "p.dv").agg(F.count("*").alias("n"))
     slots = slots.groupBy(*one, "iv").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy(*one).agg((F.sum("top") / F.sum("n")).alias("consistency"))

@@ -333,12 +333,15 @@ def link(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, shard_by
         ef *= 2
     counts = told.filter("kind = 0").select("node", "n")
     comp = components(told.filter("kind = 1").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    c = classes.select("cls", "low", "copies", "rep").join(counts.withColumnRenamed("node", "rep").hint("merge"), "rep").join(comp.withColumnRenamed("node", "rep").withColumnRenamed("root", "top").hint("merge"), "rep", "left")
+    c = classes.select("cls", "low", "copies", "rep").join(counts.withColumnRenamed("node", "rep").hint("merge"), "rep")
+    c = c.join(comp.withColumnsRenamed({"node": "rep", "root": "top"}).hint("merge"), "rep", "left")
     c = store(c.select("cls", "low", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "rep").alias("top")))
     lows = store(c.groupBy("top").agg(F.min("low").alias("component_id")))
     c = c.join(lows.hint("merge"), "top").select("cls", "n_links", "component_id")
     out = v.select("vec_id", "cls").join(c.hint("merge"), "cls", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.lit(found / there if there else None).cast("double").alias("audit_recall"))
+    audited = F.lit(found / there if there else None).cast("double")
+    links = F.coalesce("n_links", F.lit(0)).cast("long")
+    return out.select("vec_id", links.alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), audited.alias("audit_recall"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,8 @@ def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> D
     roots = store(roots)
     low = store(roots.groupBy("root").agg(F.min("low").alias("first")))
     final = roots.join(low.hint("merge"), "root").select("fp", "first")
-    return prints.join(final.hint("merge"), "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    return prints.join(final.hint("merge"), "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
