@@ -328,7 +328,7 @@ def test_language_model_tells_words_apart():
     r = random.Random(2)
     words = list({"".join(r.choice("abé") for _ in range(r.randint(1, 9))) for _ in range(20_000)} | {"a" * n for n in (1023, 1024, 1025, 2048, 5000)} | {"a" * k + "b" + "a" * (3000 - k) for k in (0, 5, 1024, 1029, 2048)})
     h = pitmanyor._hashes(pa.array(words))
-    assert len(np.unique(h)) == len(words) and (pitmanyor._hashes(pa.array(["x", *words]).slice(1)) == h).all()
+    assert len(np.unique(h)) == len(words) and (pitmanyor._hashes(pa.array(words), 100) == h).all() and (pitmanyor._hashes(pa.array(["x", *words]).slice(1)) == h).all()
     assert (pitmanyor._uncut(pitmanyor._cut(h, pitmanyor.WORD), pitmanyor.WORD) == h).all() and len(pitmanyor._hashes(pa.array([], pa.string()))) == 0
 
 
