@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
-from .labelled import remainder, sample
+from .common import forget, store, table
+from .labelled import remainder, training
 
 # fixed values: signs by the letters they may stand for
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "aeiou", "¡": "i", "§": "s", "¢": "c", "¥": "y", "ø": "o", "µ": "u", "×": "x"}
@@ -242,21 +242,31 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * self.total(words)))))
 
 
+#: Distinct strings that a task counts before it hands its counts on.
+HELD = 1 << 18
+
+
 def _letters(it):
-    seen: Counter = Counter()
+    seen, top = Counter(), Counter()
+
+    def spell():
+        for w, n in seen.items():
+            s = "  " + w + " "
+            for i in range(2, len(s)):
+                top[s[i - 2 : i + 1]] += n
+        seen.clear()
+
     for df in it:
         for t in df.text:
             seen.update(w for w in WORD.findall((t or "").lower()) if w.isalpha() and len(w) > 1)
-    top = Counter()
-    for w, n in seen.items():
-        s = "  " + w + " "
-        for i in range(2, len(s)):
-            top[s[i - 2 : i + 1]] += n
+            if len(seen) > HELD:
+                spell()
+    spell()
     yield pd.DataFrame({"g": pd.Series(list(top), dtype=object), "n": pd.Series(list(top.values()), dtype="int64")})
 
 
 def char_model(train: DataFrame) -> CharModel:
-    """From all trigram counts of the training sample, which its rows bound."""
+    """From the counts of all trigrams of the training texts; the distinct ones reach the driver."""
     rows = train.select("text").mapInPandas(_letters, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
     m = CharModel(Counter())
     for g, n in rows:
@@ -268,51 +278,97 @@ def char_model(train: DataFrame) -> CharModel:
     return m
 
 
-def _evidence(restore: Restorer):
+def _evidence(restore: Restorer, wanted: set[str] | None = None):
+    """How many texts hold each string, or each of the wanted ones; '' stands for all texts."""
+    starts = wanted and {f[:4] for f in wanted}
+
     def run(it):
-        seen, n = (Counter(), Counter()), [0, 0]
+        seen, n = Counter(), 0
+
+        def told():
+            return pd.DataFrame({"f": pd.Series([*seen, ""], dtype=object), "n": pd.Series([*seen.values(), n], dtype="int64")})
+
         for df in it:
-            for t, y in zip(df.text, df.y):
-                k = int(y > 0)
-                n[k] += 1
-                seen[k].update(evidence(restore.distinct(t)))
-        keys = [k for k in {*seen[0], *seen[1]}]
-        yield pd.DataFrame({"f": [*keys, ""], "clean": [seen[0][k] for k in keys] + [n[0]], "toxic": [seen[1][k] for k in keys] + [n[1]]})
+            for t in df.text:
+                n += 1
+                words = restore.distinct(t)
+                if wanted is None:
+                    seen.update(evidence(words))
+                else:
+                    seen.update(evidence(w for w in words if (w + "$")[:4] in starts) & wanted)
+                if len(seen) > HELD:
+                    yield told()
+                    seen, n = Counter(), 0
+        yield told()
 
     return run
 
 
+def _counted(rows: DataFrame, restore: Restorer, wanted: set[str] | None = None) -> DataFrame:
+    return rows.select("text").mapInPandas(_evidence(restore, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
 def fit(train: DataFrame, least: int = 5) -> tuple[Restorer, Lexicon]:
-    """train: (doc_id, text, y), a bounded sample. In three quarters of it, strings of `least` or more toxic texts that are far
-    likelier there make the lexicon; the last quarter sets base and slope."""
+    """train: (doc_id, text, y). In three quarters of it, strings of `least` or more toxic texts, and of a hundredth of them, that
+    are far likelier there make the lexicon; the last quarter sets base and slope. The strings that so many toxic texts hold, a
+    hundred times as many as one text holds at most, are counted in the clean ones."""
     restore, learn = Restorer(char_model(train)), F.expr("pmod(xxhash64(doc_id, 7), 4) > 0")
-    found = store(train.filter(learn).select("text", "y").mapInPandas(_evidence(restore), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    n = found.filter("f = ''").first()
-    n0, n1 = (n.clean, n.toxic) if n else (0, 0)
+    n0, n1 = (train.filter(learn).filter(y).count() for y in ("not y > 0", "y > 0"))
     if not n0 or not n1:
         return restore, Lexicon({}, 10.0 if n1 else -10.0 if n0 else 0.0)
-    # log odds of a lower bound of the toxic share against an upper bound of the clean one
-    gain = F.log((F.col("toxic") - 1.64 * F.sqrt("toxic")) / n1 + 1e-9) - F.log((F.col("clean") + 1.64 * F.sqrt(F.col("clean") + 1.0)) / n0)
     least = max(least, math.ceil(0.01 * n1))
-    rows = found.filter(f"f != '' and toxic >= {least}").withColumn("gain", gain).filter("gain > 3").collect()
-    lexicon = Lexicon({r.f: r.gain for r in rows})
-    pairs = store(train.filter(~learn).select("text", "y").mapInPandas(_totals(restore, lexicon), "total double, y double")).collect()
-    lexicon.base, lexicon.slope = logistic([p.total for p in pairs], [p.y for p in pairs])
+    toxic = {r.f: r.n for r in _counted(train.filter(learn).filter("y > 0"), restore).filter(f"f != '' and n >= {least}").collect()}
+    clean = {r.f: r.n for r in _counted(train.filter(learn).filter("not y > 0"), restore, set(toxic)).collect()} if toxic else {}
+    weights = {f: gain for f, n in toxic.items() if (gain := _gain(n, n1, clean.get(f, 0), n0)) > 3}
+    lexicon = Lexicon(weights)
+    totals = train.filter(~learn).select("text", "y").mapInPandas(_totals(restore, lexicon), "total double, y double")
+    totals = store(totals.groupBy("total", "y").agg(F.count("*").alias("n")))
+    lexicon.base, lexicon.slope = newton(_slopes(totals))
+    forget(totals)
     return restore, lexicon
 
 
-def logistic(x: list[float], y: list[float], ridge: float = 0.05) -> tuple[float, float]:
-    """Base and slope of y on x by Newton steps."""
-    x, y = np.array([np.ones(len(x)), x]), np.array(y)
+def _gain(toxic: int, n1: int, clean: int, n0: int) -> float:
+    """Log odds of a lower bound of the toxic share against an upper bound of the clean one."""
+    return math.log((toxic - 1.64 * math.sqrt(toxic)) / n1 + 1e-9) - math.log((clean + 1.64 * math.sqrt(clean + 1.0)) / n0)
+
+
+def _slopes(totals: DataFrame):
+    """totals: (total, y, n). At given coefficients, gradient and curvature summed over all rows."""
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("total")))
+        df = totals.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("g", F.col("n") * (F.col("p") - F.col("y"))).withColumn("h", F.col("n") * F.col("p") * (1 - F.col("p")))
+        x = F.col("total")
+        g0, g1, h0, h1, h2 = (v or 0.0 for v in df.agg(F.sum("g"), F.sum(F.col("g") * x), F.sum("h"), F.sum(F.col("h") * x), F.sum(F.col("h") * x * x)).first())
+        return np.array([g0, g1]), np.array([[h0, h1], [h1, h2]])
+
+    return at
+
+
+def newton(slopes, ridge: float = 0.05) -> tuple[float, float]:
+    """Base and slope by Newton steps; slopes: gradient and curvature at given coefficients."""
     w = np.array([-4.0, 1.0])
     prior = w.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p))) @ x.T + ridge * np.eye(2), x @ (p - y) + ridge * (w - prior))
+        (g, h), old = slopes(w), w
+        w = w - np.linalg.solve(h + ridge * np.eye(2), g + ridge * (w - prior))
         w[1] = max(w[1], 0.1)
+        if np.abs(w - old).max() < 1e-12:
+            break
     return float(w[0]), float(w[1])
 
 
+def logistic(x: list[float], y: list[float], ridge: float = 0.05) -> tuple[float, float]:
+    """Base and slope of y on x, both lists."""
+    x, y = np.array([np.ones(len(x)), x]), np.array(y)
+
+    def slopes(w):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        return x @ (p - y), (x * (p * (1 - p))) @ x.T
+
+    return newton(slopes, ridge)
+
+
 def _totals(restore: Restorer, lexicon: Lexicon):
     def run(it):
         for df in it:
@@ -338,9 +394,12 @@ def _restore(restore: Restorer):
     return run
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = 16_000) -> tuple[Restorer, Lexicon]:
-    """rows: the bound of the labelled sample."""
-    return fit(store(sample(docs, labels, "toxic", 4, 2, rows)))
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Restorer, Lexicon]:
+    """Learnt from every labelled row outside the held-out remainder."""
+    train = store(training(docs, labels, "toxic", 4, 2))
+    model = fit(train)
+    forget(train)
+    return model
 
 
 def restored(docs: DataFrame, restore: Restorer) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import quality, toxicity
+from quern.llm import labelled, quality, toxicity
 from quern.llm.queries import QUERIES
 
 LONG = "the long text of many words that goes on and on " * 12_000
@@ -127,3 +127,17 @@ def test_toxicity_same_as_a_plain_fit(spark):
     assert abs(lexicon.base - base) < 1e-6 and abs(lexicon.slope - slope) < 1e-6
     for word, y in (("rotter", True), ("r o t t e r", True), ("bamo", False)):
         assert (lexicon.score(restore.distinct(f"{' '.join(words[:9])} {word}")) >= 0.3) == y
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More training rows than a sample of 16,000; those that its order leaves out are the only toxic ones."""
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id").filter(labelled.remainder(4) != 2).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [x.doc_id for x in ids.collect()]
+    assert len(ids) > 16_400
+    bad = set(ids[16_000:])
+    docs = spark.createDataFrame([(i, f"plain words number {'abcdefgh'[i % 8]}" + (" rotter" if i in bad else "")) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    restore, lexicon = toxicity.trained(docs, labels)
+    assert lexicon.score(restore.distinct("you r0tter")) >= 0.3 > lexicon.score(restore.distinct("plain words number a"))
+    twice = labelled.training(docs.union(docs.limit(1)), labels, "toxic", 4, 2)
+    assert twice.count() == len(ids) + 1
