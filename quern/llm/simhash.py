@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, store, table
+from .common import components, forget, store, table
 
 CHUNK = 1 << 16
 
@@ -85,14 +85,19 @@ def links(fps: DataFrame, small: int = 64) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> DataFrame:
-    """(doc_id, th, fp, component_id, kept) for every row; kept: the first of its component by doc_id (null last), then th."""
-    prints = store(fingerprints(docs, words, seed))
+def _rooted(prints: DataFrame, small: int = 64) -> DataFrame:
+    """(fp, low, root) of the distinct fingerprints: its first row, and the smallest fingerprint that links reach."""
     nodes = store(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")))
     comp = store(components(links(nodes.select("fp"), small)))
     # fingerprints that link with no other are their own root
     roots = nodes.join(comp.hint("merge"), nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    roots = store(roots)
+    return store(roots)
+
+
+def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> DataFrame:
+    """(doc_id, th, fp, component_id, kept) for every row; kept: the first of its component by doc_id (null last), then th."""
+    prints = store(fingerprints(docs, words, seed))
+    roots = _rooted(prints, small)
     low = store(roots.groupBy("root").agg(F.min("low").alias("first")))
     final = roots.join(low.hint("merge"), "root").select("fp", "first")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
@@ -100,14 +105,19 @@ def dedup(docs: DataFrame, words: int = 3, seed: int = 42, small: int = 64) -> D
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, th, node, component_id, kept) for every row, linked at a Jaccard similarity of their five-word shingles.
+    """(doc_id, th, node, component_id, kept) for every row, linked by fingerprints as in dedup or at a Jaccard similarity of their five-word shingles.
 
-    At 0.8 two 64-bit fingerprints differ in 10 bits on average (sf0.1: 3 to 11), which segments that
-    differ by one bit at most would have to be about six bits long for: every text would meet every
-    other. So the same index, segments with one part struck out, stands on sketches of minima, which
-    agree with the chance of the similarity itself.
+    Fingerprints alone leave most near copies: at 0.8 two of them differ in 10 bits on average (sf0.1: 3
+    to 11), which segments that differ by one bit at most would have to be about six bits long for, so
+    that every text would meet every other. So links at that similarity come on top, by the same index,
+    segments with one part struck out, on sketches of minima, which agree with the chance of the
+    similarity itself. Components are those of both kinds of links together.
     """
-    return shingles.dedup(docs, least)
+    prints = store(fingerprints(docs))
+    roots = _rooted(prints)
+    classes = store(prints.join(roots.select("fp", "root").hint("merge"), "fp").select("th", F.col("root").alias("class")).distinct())
+    forget(prints, roots)
+    return shingles.dedup(docs, least, classes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,20 @@ def test_near_copies_go_as_by_brute_force(spark, sf):
     assert pairs(cp.drop_near_duplicates(spark, rows(spark, given), sf)) == sorted([given[i] for i in set(low)], key=str)
 
 
+def test_near_duplicates_are_linked_by_fingerprints_too(spark, sf):
+    # repeats outweigh the rest: few bits differ, though the sets of shingles share little
+    given = [(i, f"{prose(1)} " * 300 + " ".join(f"w{i}x{j}" for j in range(90))) for i in range(1, 4)] + [(9, prose(5))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in given)]
+    bits = lambda i, j: ((simhash.fingerprint(given[i][1]) ^ simhash.fingerprint(given[j][1])) & (2**64 - 1)).bit_count()
+    assert all(bits(i, j) <= 2 and len(sets[i] & sets[j]) < 0.5 * len(sets[i] | sets[j]) for i, j in ((0, 1), (1, 2))) and bits(0, 3) > 2
+    # a copy of the last one's set at 0.8 is linked with it, and so with all of them
+    near = " ".join(given[2][1].split()[:-8])
+    assert pairs(cp.drop_near_duplicates(spark, rows(spark, [*given, (5, near)]), sf)) == [given[0], given[3]]
+    # the same groups as of operator 9, where no similarity of sets adds to them
+    classes = simhash.dedup(rows(spark, given)).select("doc_id", "component_id")
+    assert classes.exceptAll(simhash.near_duplicates(rows(spark, given)).select("doc_id", "component_id")).count() == 0
+
+
 def test_contamination_of_one_row_spares_others_of_its_id(spark, sf):
     given = [(None, prose(1)), (None, f"{prose(2)} {ITEM}"), (5, prose(3)), (5, ITEM), (6, None), (7, ""), (8, f"Say. {ITEM}. {prose(4)}")]
     assert pairs(cp.drop_contaminated(spark, rows(spark, given), sf)) == sorted([(None, prose(1)), (5, prose(3)), (6, None), (7, "")], key=str)
