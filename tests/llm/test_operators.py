@@ -350,6 +350,15 @@ def test_language_model_opens_restaurants_for_rare_contexts(spark):
     assert len(rows) == 15 and gain > 1  # every second word follows from the one before
 
 
+def test_language_model_sweeps_until_scores_settle(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=60)) for _ in range(120)]
+    scores = lambda **sweeps: {x.doc_id: x.score for x in pitmanyor.score(docs(spark, texts), F.col("doc_id") % 4 == 0, **sweeps).collect() if x.held_out}
+    got, few, many = scores(), scores(burn=0, samples=2), scores(burn=40, samples=60)
+    off = lambda some: np.mean([abs(some[i] - many[i]) for i in many])
+    assert len(many) == 30 and off(got) < 0.3 < off(few)
+
+
 def tree_of(words, train=None, extra=()):
     """A tree of numbered words, each after the three before it; extra: (u, v, x, w) that are no customers."""
     w = np.array([0, 0, 0, *words], np.uint64)
