@@ -111,6 +111,17 @@ def test_byte_pairs_as_by_recounting(spark, one_task, dropout):
     assert bpe.learn(types.limit(0), 3, 0.0, 5, one_task)[0] == []
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.2])
+def test_byte_pairs_from_several_tasks_at_once(spark, monkeypatch, dropout):
+    r = random.Random(6)
+    counts = {"".join(r.choice("aabcé") for _ in range(r.randint(1, 9))): r.randint(1, 30) for _ in range(200)} | {"aaaa": 5, "aaaaa": 7, "": 3}
+    want, words = brute_merges(counts, 400, lambda rank, a, b: zlib.crc32(f"5:{rank}:{a}{b}".encode()) % 65536 < dropout * 65536)
+    monkeypatch.setattr(bpe, "together", lambda *a: pytest.fail("learnt by rounds of jobs"))
+    size = sum(len(t.encode()) for t in counts)
+    merges, vocab = bpe.learn(spark.createDataFrame(list(counts.items()), "token string, cnt long"), 400, dropout, 5, -(-size // 3))
+    assert merges == want and {x.token: x.sym for x in vocab.collect()} == words
+
+
 def test_pairs_that_merge_together():
     a = [("<a>", "<b>", 9), ("<c>", "<d>", 8), ("<e>", "<f>", 7), ("<b>", "<g>", 6), ("<h>", "<i>", 5)]
     assert bpe.together(a, 9) == a[:3] and bpe.together(a, 2) == a[:2] and bpe.together(a[:2], 9) == a[:2] and bpe.together([], 9) == []
