@@ -368,6 +368,29 @@ def tree_of(words, train=None, extra=()):
     return pitmanyor.Tree(u, v, x.astype(np.uint16), w, np.arange(len(w)) < len(words)), w
 
 
+def test_language_model_root_is_seated_from_drawn_tables(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh"[: r.randint(2, 8)]) for _ in range(60)) for _ in range(40)]
+    rooted, seen = pitmanyor._rooted, []
+    monkeypatch.setattr(pitmanyor, "_rooted", lambda asked: seen.append(rooted(asked)) or seen[-1])
+    pitmanyor.score(docs(spark, texts), F.lit(False)).count()
+    (_, first), (_, last) = seen
+    assert first[:2] == last[:2] and last[2] > first[2] and last[3] >= last[1]  # the same tokens and words; more tables than one a dish
+    words = [r.randint(1, 9) for _ in range(600)]
+    tree, _ = tree_of(words)
+    base = np.full(len(tree.words), 1 / len(tree.words))
+    for _ in range(3):
+        tree.sweep(base)
+    seats, p = tree.seats(), tree.chances(base)
+    again, _ = tree_of(words)
+    again.take(*seats, tree.no)
+    assert (again.chances(base) == p).all() and (again.sent() == tree.sent()).all()
+    tree.sweep(base), again.sweep(base)
+    assert all((a == b).all() for a, b in zip(tree.t, again.t))
+    with pytest.raises(ValueError):
+        tree_of(words[1:])[0].take(*seats, 3)
+
+
 def test_language_model_sums_to_one():
     r = np.random.default_rng(1)
     words = r.integers(1, 9, 400)
