@@ -122,6 +122,24 @@ def test_byte_pairs_from_several_tasks_at_once(spark, monkeypatch, dropout):
     assert merges == want and {x.token: x.sym for x in vocab.collect()} == words
 
 
+@pytest.mark.parametrize("slots", [1, 2])
+@pytest.mark.parametrize("dropout", [0.0, 0.2])
+def test_byte_pairs_from_fewer_tasks_than_shards(spark, monkeypatch, slots, dropout):
+    """As with few cores, or where executors come and go: each task takes several shards."""
+    monkeypatch.setattr(bpe, "together", lambda *a: pytest.fail("learnt by rounds of jobs"))
+    monkeypatch.setattr(bpe, "_slots", lambda spark: slots)
+    r = random.Random(6)
+    counts = {"".join(r.choice("aabcé") for _ in range(r.randint(1, 9))): r.randint(1, 30) for _ in range(300)} | {"aaaa": 5, "aaaaa": 7}
+    want, words = brute_merges(counts, 400, lambda rank, a, b: zlib.crc32(f"5:{rank}:{a}{b}".encode()) % 65536 < dropout * 65536)
+    types = spark.createDataFrame(list(counts.items()), "token string, cnt long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        merges, vocab = bpe.learn(types, 400, dropout, 5, 100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert merges == want and {x.token: x.sym for x in vocab.collect()} == words
+
+
 def test_pairs_that_merge_together():
     a = [("<a>", "<b>", 9), ("<c>", "<d>", 8), ("<e>", "<f>", 7), ("<b>", "<g>", 6), ("<h>", "<i>", 5)]
     assert bpe.together(a, 9) == a[:3] and bpe.together(a, 2) == a[:2] and bpe.together(a[:2], 9) == a[:2] and bpe.together([], 9) == []
