@@ -410,6 +410,41 @@ def test_language_model_sums_to_one():
                 assert k == 2 or (tree.c[k] == np.bincount(tree.up[k + 1], tree.t[k + 1], len(tree.c[k]))).all()
 
 
+def test_language_model_packs_hashes_by_their_differences():
+    r = np.random.default_rng(4)
+    h = np.sort(r.integers(0, 1 << 63, 5000, np.uint64)) & ~np.uint64(0xFF)
+    packed = pitmanyor._deltas(h, 7)
+    assert (pitmanyor._undeltas(packed, 7) == h).all() and len(packed) < 6.1 * len(h)  # seven bytes each before
+    for x in (h[::-1].copy(), h[:1], h[:0]):
+        assert (pitmanyor._undeltas(pitmanyor._deltas(x, 7), 7) == x).all()
+    assert (pitmanyor._undeltas(pitmanyor._deltas(h, 6), 6) == h & ~np.uint64(0xFFFF)).all()
+
+
+def test_language_model_numbers_hashes():
+    r = np.random.default_rng(5)
+    apart = r.integers(0, 1 << 63, 900, np.uint64)
+    near = np.array([7 << 40, (7 << 40) + 1, (7 << 40) + 2], np.uint64)  # told apart by their lowest bits only
+    for x in (apart[r.integers(0, 900, 5000)], np.concatenate([near, near, apart])[r.permutation(906)], np.zeros(0, np.uint64), near[:1]):
+        code, first = pitmanyor._codes(x)
+        distinct, want = np.unique(x, return_inverse=True)
+        assert (code == want).all() and (x[first] == distinct).all() and (first == np.unique(x, return_index=True)[1]).all()
+
+
+def test_language_model_sweeps_only_what_can_change():
+    r = random.Random(9)
+    words = [int(r.expovariate(0.15)) for _ in range(3000)]
+    tree, w = tree_of(words)
+    base = np.full(len(tree.words), 1 / 60)
+    for _ in range(4):
+        tree.sweep(base)
+        for k in range(3):
+            c = np.bincount(tree.up[k + 1], tree.t[k + 1], len(tree.key[k])) if k < 2 else np.bincount(tree.leaf, np.arange(len(w)) < len(words), len(tree.key[k]))
+            assert (tree.c[k] == c).all() and (tree.t[k] <= c).all() and (tree.t[k] >= np.minimum(c, 1)).all()
+            assert (tree.all_c[k] == np.bincount(tree.rest[k], c)).all() and (tree.all_t[k] == np.bincount(tree.rest[k], tree.t[k])).all()
+    assert sum(map(len, tree.part.key)) < sum(map(len, tree.key)) / 2
+    assert all(len(at) == len(set(zip(tree.rest[k][at], tree.key[k][at]))) for k, at in enumerate(tree.ats))
+
+
 def seats_by_hand(words, root, sweeps, seed):
     """Customers at tables, moved one at a time: the mean probability of each (context, word) seen, after a third of the sweeps."""
     r, levels = random.Random(seed), [pitmanyor.LEVELS[k] for k in range(3)]
