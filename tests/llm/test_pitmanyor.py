@@ -53,3 +53,66 @@ def test_stretches_draw_the_first_customers_at_once(monkeypatch):
     monkeypatch.setattr(pitmanyor, "_mix", lambda x: calls.append(len(x)) or mix(x))
     pitmanyor._stretches(key[7:8], no, c[7:8], rest[:1], base[:1], d, s)
     assert len(calls) < 12
+
+
+def test_means_are_summed_where_seats_change(monkeypatch):
+    """As the mean of chances() after each sweep; the dishes that no sweep changes are reckoned once, not after each."""
+    one, mean = tree(4), tree(4)
+    root, want = np.full(len(one.words), 0.02), 0.0
+    for t in (one, mean):
+        t.sweep(root, times=2)
+    for _ in range(5):
+        one.sweep(root)
+        want = want + one.chances(root) / 5
+    calls, share = [], pitmanyor.Tree._share
+    monkeypatch.setattr(pitmanyor.Tree, "_share", lambda self, k, at: calls.append(k) or share(self, k, at))
+    assert np.allclose(mean.mean(root, 5), want, rtol=1e-12, atol=0)
+    assert sorted(calls) == [0, 1, 2]
+    assert mean.seats() == one.seats() and all((a == b).all() for a, b in zip(mean.all_c + mean.all_t, one.all_c + one.all_t))
+
+
+def test_dishes_stand_by_restaurant_and_restaurants_by_parent():
+    t = tree(5)
+    for k in range(3):
+        assert (np.diff(t.rest[k]) >= 0).all() and len(t.rooms[k]) == t.rest[k][-1] + 1
+        assert k == 0 or (np.diff(t.rest[k - 1][t.up[k]]) >= 0).all()
+    assert (t._said(2)[t.leaf] == t.spoken()).all() and (t.up[0][t.up[1][t.up[2]]] == t._said(2)).all()
+
+
+@pytest.mark.parametrize("wide", [10, 31])  # with room for places below the pairs, and without
+def test_pairs_of_numbers_in_order(wide):
+    r = np.random.default_rng(6)
+    high, low = r.integers(0, 1 << 30, 5000)[r.integers(0, 900, 5000)], r.integers(0, 1 << wide, 7)[r.integers(0, 7, 5000)]
+    both, order = pitmanyor._pairs(high, low, wide)
+    assert (order == np.lexsort((low, high))).all() and (both == (high[order].astype(np.uint64) << np.uint64(wide) | low[order].astype(np.uint64))).all()
+    some, place = pitmanyor._news(both)
+    assert (some == np.unique(both)).all() and (some[place] == both).all()
+
+
+def test_first_round_counts_tokens_and_contexts():
+    from collections import Counter
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    texts = ["a b a b c", "b a a", "c d", "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts), pa.array([False, False, True, False]), pa.array([0] * 4)], names=["id", "text", "held", "sign"])
+    get, TaskContext.get = TaskContext.get, staticmethod(lambda: Task)
+    try:
+        rows = [b.to_pandas() for b in pitmanyor._deal(np.arange(1), pitmanyor.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 << 18), False)([batch])]
+    finally:
+        TaskContext.get = get
+    asked = pitmanyor._ask(3)((0,), rows[0])
+    got = {}
+    for r in asked.itertuples():
+        got |= dict(zip(pitmanyor._uncut(r.words, pitmanyor.WORD).tolist(), zip(pitmanyor._unpack(r.c, np.int64, r.n).tolist(), pitmanyor._unpack(r.m, np.int64, r.n).tolist())))
+    words = dict(zip("abcd", pitmanyor._hashes(pa.array(list("abcd"))).tolist())) | {"": pitmanyor.END}
+    tokens, pairs = Counter(), set()
+    for text, held in zip(texts, [0, 0, 1, 0]):
+        row = ["", *text.split(), ""]
+        tokens.update({} if held else row[1:])
+        pairs |= set() if held else set(zip(row, row[1:]))
+    assert got == {h: (tokens[w], sum(b == w for _, b in pairs)) for w, h in words.items()}
