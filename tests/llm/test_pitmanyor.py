@@ -116,3 +116,13 @@ def test_first_round_counts_tokens_and_contexts():
         tokens.update({} if held else row[1:])
         pairs |= set() if held else set(zip(row, row[1:]))
     assert got == {h: (tokens[w], sum(b == w for _, b in pairs)) for w, h in words.items()}
+
+
+def test_marks_tell_tokens_apart():
+    import pyarrow as pa
+
+    words = [*("a" * n for n in range(1, 40)), *("a" * k + "b" + "a" * (n - k) for n in (14, 15, 16, 24) for k in range(n + 1)), "é", "e", "ab", "ba"]
+    marks = pitmanyor._marks(pa.array(words))
+    assert len(set(words)) == len(words) == len(np.unique(marks))
+    assert (pitmanyor._marks(pa.array(words), 7) == marks).all() and (pitmanyor._marks(pa.array(["x", *words], pa.large_string()).slice(1)) == marks).all()
+    assert len(pitmanyor._marks(pa.array([], pa.string()))) == 0
